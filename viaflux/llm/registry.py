@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viaflux.llm import decontaminate, host_quality, html_text, language_id, sentencepiece_scan, simhash, substring_dedup, url_filter
+from viaflux.llm import decontaminate, host_quality, html_text, katz, language_id, sentencepiece_scan, simhash, substring_dedup, suffix_dedup, url_filter
 from viaflux.llm.sql import ORACLES
 
 
@@ -28,10 +28,18 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_quality.host_quality(_table(spark, sf_dir, "documents"))
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.scores(_table(spark, sf_dir, "documents"))
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(_table(spark, sf_dir, "documents"))
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(_table(spark, sf_dir, "pages"))
 
@@ -60,7 +68,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_text": op1,
         "op2_host_quality": op2,
+        "op3_katz": op3,
         "op4_decontaminate": op4,
+        "op5_suffix_dedup": op5,
         "op6_url_filter": op6,
         "op7_substring_dedup": op7,
         "op8_language_id": op8,
