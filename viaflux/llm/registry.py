@@ -25,7 +25,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return host_quality.host_quality(_table(spark, sf_dir, "documents"))
+    return host_quality.host_quality(_table(spark, sf_dir, "documents")).drop("host_rate")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
