@@ -151,17 +151,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     scanned = scan_documents(docs, benchmark, text=text, **options)
     if mode == "documents":
         return scanned.where(F.size("decon_starts") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
-    col = docs.columns.index(text)
+    col, width, names = docs.columns.index(text), len(docs.columns), docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, width = b.column(col).to_pylist(), len(docs.columns)
+            texts = b.column(col).to_pylist()
             for r, (s, e) in enumerate(zip(b.column(width + 1).to_pylist(), b.column(width + 2).to_pylist())):
                 if s:
                     texts[r] = cut_words(texts[r], s, e)
             cols = [b.column(x) for x in range(width)]
             cols[col] = pa.array(texts, b.schema.field(col).type)
-            yield pa.RecordBatch.from_arrays(cols, docs.columns)
+            yield pa.RecordBatch.from_arrays(cols, names)
 
     return scanned.mapInArrow(cut, docs.schema)
 
