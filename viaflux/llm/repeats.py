@@ -25,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from viaflux.llm import kernels as K
@@ -35,12 +35,21 @@ from viaflux.storage import Scratch, bound_batches
 Tokens = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
+#: A place is one long: position << 32 | distance back to the first start << 18 | to the last start << 4 | copies (2 at most).
+#: A range of starts is one long: first << 32 | last.
+MAX_WINDOW = (1 << 14) - 1
+
+
 @dataclass(frozen=True)
 class Kind:
     tokens: Tokens
     window: int
     anchor: int
 
+    def __post_init__(self):
+        if not 0 < self.anchor <= self.window <= MAX_WINDOW:
+            raise ValueError(f"a window has 1 to {MAX_WINDOW} tokens")
+
 
 def text_key(text: str = "text"):
     return F.unhex(F.sha2(F.col(text), 256))
@@ -57,8 +66,27 @@ def _signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 
 
+def packed(a: np.ndarray, lo: np.ndarray, hi: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return (a << 32) | (lo << 18) | (hi << 4) | c
+
+
+def parts(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Position, distances back to the first and the last start."""
+    return p >> 32, (p >> 18) & MAX_WINDOW, (p >> 4) & MAX_WINDOW
+
+
+def place_columns(p: str = "p") -> tuple[Column, Column, Column]:
+    """The same as columns a, lo, hi."""
+    cut = lambda n: F.shiftright(p, n).bitwiseAND(F.lit(MAX_WINDOW).cast("long"))
+    return F.shiftright(p, 32).alias("a"), cut(18).alias("lo"), cut(4).alias("hi")
+
+
+def range_of(s1: Column, s2: Column) -> Column:
+    return F.shiftleft(s1.cast("long"), 32).bitwiseOR(s2.cast("long"))
+
+
 def anchor_rows(texts: DataFrame, kind: Kind) -> DataFrame:
-    """(k, tid, a, lo, hi, c): anchor hash, text, anchor position, distance back to the first and last start, copies (2 at most)."""
+    """(k, tid, p): anchor hash, text and place."""
     bound_batches(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,22 +97,23 @@ def anchor_rows(texts: DataFrame, kind: Kind) -> DataFrame:
                 values, first = kind.tokens(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 h, at, s1, s2 = K.anchors(values, first, kind.window, kind.anchor)
                 row = np.searchsorted(first, s1, "right") - 1
-                yield pa.RecordBatch.from_arrays(
-                    [_signed(h), pa.array(tid[i + row]), pa.array((at - first[row]).astype(np.int32)), pa.array((at - s1).astype(np.int16)), pa.array((at - s2).astype(np.int16)), pa.array(copies[i + row].astype(np.int16))],
-                    ["k", "tid", "a", "lo", "hi", "c"],
-                )
+                yield pa.RecordBatch.from_arrays([_signed(h), pa.array(tid[i + row]), pa.array(packed(at - first[row], at - s1, at - s2, copies[i + row]))], ["k", "tid", "p"])
+
+    return texts.select("tid", "copies", "text").mapInArrow(run, "k long, tid long, p long")
 
-    return texts.select("tid", "copies", "text").mapInArrow(run, "k long, tid long, a int, lo short, hi short, c short")
 
+def copies() -> Column:
+    return F.col("p").bitwiseAND(F.lit(15).cast("long"))
 
-def repeated(rows: DataFrame, *keys: str) -> DataFrame:
+
+def repeated(rows: DataFrame, *keys: str, copies: Column | str = "c") -> DataFrame:
     """Distinct values of the keys whose copies are two or more in all."""
-    return rows.groupBy(*keys).agg(F.sum("c").alias("m")).where(F.col("m") > 1).select(*keys)
+    return rows.groupBy(*keys).agg(F.sum(copies).alias("m")).where(F.col("m") > 1).select(*keys)
 
 
 def lists(rows: DataFrame, *names: str) -> DataFrame:
     """One row for each text with its rows as a list; no longer than the text."""
-    return rows.groupBy("tid").agg(F.collect_list(F.struct(*names)).alias("rows"))
+    return rows.groupBy("tid").agg(F.collect_list(F.struct(*names) if len(names) > 1 else F.col(names[0])).alias("rows"))
 
 
 def by_text(b: pa.RecordBatch, col: int, names: tuple[str, ...]) -> tuple[np.ndarray, ...]:
@@ -93,12 +122,18 @@ def by_text(b: pa.RecordBatch, col: int, names: tuple[str, ...]) -> tuple[np.nda
     arr = arr.cast(pa.large_list(arr.type.value_type))
     n = np.diff(arr.offsets.to_numpy())
     flat = arr.flatten()
-    cols = [flat.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in names]
+    cols = [(flat.field(x) if len(names) > 1 else flat).to_numpy(zero_copy_only=False).astype(np.int64) for x in names]
     row = np.repeat(np.arange(len(n)), np.where(arr.is_valid().to_numpy(zero_copy_only=False), n, 0))
     order = np.lexsort((cols[0], row))
     return row[order], *[c[order] for c in cols]
 
 
+def ranges_by_text(b: pa.RecordBatch, col: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of the batch, first and last start of its ranges."""
+    row, q = by_text(b, col, ("q",))
+    return row, q >> 32, q & 0xFFFFFFFF
+
+
 def each_piece(b: pa.RecordBatch, text: int, rows: int, names: tuple[str, ...], kind: Kind):
     """For pieces of a batch: (data, offs, values, first, i, j, row within the piece, columns of the lists)."""
     data, offs = K.views(b.column(text))
@@ -112,47 +147,43 @@ def each_piece(b: pa.RecordBatch, text: int, rows: int, names: tuple[str, ...],
 
 def span_rows(texts: DataFrame, found: DataFrame, kind: Kind) -> DataFrame:
     """found with ``span``, the hash of all tokens of the windows of a row."""
-    joined = texts.select("tid", "copies", "text").join(lists(found, "a", "lo", "hi", "k"), "tid").select("tid", "copies", "text", "rows")
+    joined = texts.select("tid", "text").join(lists(found, "p", "k"), "tid").select("tid", "text", "rows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tid, copies = b.column(0).to_numpy(), np.minimum(b.column(1).to_numpy(), 2)
-            for _, _, values, first, i, _, row, (a, lo, hi, k) in each_piece(b, 2, 3, ("a", "lo", "hi", "k"), kind):
+            tid = b.column(0).to_numpy()
+            for _, _, values, first, i, _, row, (p, k) in each_piece(b, 1, 2, ("p", "k"), kind):
+                a, lo, hi = parts(p)
                 s = first[row] + a
                 starts, ends = s - lo, s - hi + kind.window
                 order = np.argsort(starts, kind="stable")
                 span = np.empty(len(s), K.U64)
                 span[order] = K.run_hashes(values, starts[order], ends[order])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(k), _signed(span), pa.array(tid[i + row]), pa.array(a.astype(np.int32)), pa.array(lo.astype(np.int16)), pa.array(hi.astype(np.int16)), pa.array(copies[i + row].astype(np.int16))],
-                    ["k", "span", "tid", "a", "lo", "hi", "c"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(k), _signed(span), pa.array(tid[i + row]), pa.array(p)], ["k", "span", "tid", "p"])
 
-    return joined.mapInArrow(run, "k long, span long, tid long, a int, lo short, hi short, c short")
+    return joined.mapInArrow(run, "k long, span long, tid long, p long")
 
 
 @dataclass
 class Found:
     texts: DataFrame
-    settled: DataFrame  # (tid, s1, s2): starts of repeated windows
-    open: DataFrame  # (k, span, m, tid, a, lo, hi): one row for each distinct span of an anchor with several spans
+    settled: DataFrame  # (tid, q): ranges of starts of repeated windows
+    open: DataFrame  # (k, span, m, tid, p): one row for each distinct span of an anchor with several spans
 
 
 def find(docs: DataFrame, kind: Kind, scratch: Scratch, text: str = "text") -> Found:
     texts = distinct_texts(docs, scratch, text)
     first = scratch.write(anchor_rows(texts, kind), "anchors")
-    again = scratch.write(first.join(repeated(first, "k"), "k"), "again")
+    again = scratch.write(first.join(repeated(first, "k", copies=copies()), "k"), "again")
     scratch.drop(first)
     spans = scratch.write(span_rows(texts, again, kind), "spans")
     scratch.drop(again)
-    groups = scratch.write(spans.groupBy("k", "span").agg(F.sum("c").alias("m"), F.min(F.struct("tid", "a", "lo", "hi")).alias("r")), "groups")
-    settled = scratch.write(
-        spans.join(groups.where(F.col("m") > 1).select("k", "span"), ["k", "span"]).select("tid", (F.col("a") - F.col("lo")).alias("s1"), (F.col("a") - F.col("hi")).alias("s2")),
-        "settled",
-    )
+    groups = scratch.write(spans.groupBy("k", "span").agg(F.sum(copies()).alias("m"), F.min("tid").alias("tid"), F.min_by("p", "tid").alias("p")), "groups")
+    a, lo, hi = place_columns()
+    settled = scratch.write(spans.join(groups.where(F.col("m") > 1).select("k", "span"), ["k", "span"]).select("tid", range_of(a - lo, a - hi).alias("q")), "settled")
     scratch.drop(spans)
     several = groups.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("least")).where((F.col("n") > 1) & (F.col("least") < 2)).select("k")
-    rest = scratch.write(groups.join(several, "k").select("k", "span", "m", "r.*"), "open")
+    rest = scratch.write(groups.join(several, "k").select("k", "span", "m", "tid", "p"), "open")
     scratch.drop(groups)
     return Found(texts, settled, rest)
 

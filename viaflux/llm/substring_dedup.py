@@ -93,17 +93,16 @@ def whole_windows(texts: DataFrame, rows: DataFrame, of: R.Kind) -> DataFrame:
 
 
 def removals(docs: DataFrame, window: int, scratch: Scratch, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The distinct texts, and (tid, rows) with the list of (s1, s2), ranges of starts of repeated windows."""
+    """The distinct texts, and (tid, rows) with the list of ranges of starts of repeated windows."""
     of = kind(window)
     found = R.find(docs, of, scratch, text)
-    rest = found.open.select("k", "span", "m", "tid", "a", "lo", "hi")
+    rest = found.open.select("k", "span", "m", "tid", *R.place_columns())
     length = -(-window // 2)
     if of.anchor < length < window:
         rest = narrowed(scratch.write(extended(found.texts, rest, of, length), "doubled"), of, length)
     full = scratch.write(whole_windows(found.texts, rest, of), "windows")
-    more = full.where("c < 2").join(R.repeated(full, "k", "w"), ["k", "w"]).select("tid", F.col("s").alias("s1"), F.col("s").alias("s2"))
-    starts = found.settled.select("tid", F.col("s1").cast("long").alias("s1"), F.col("s2").cast("long").alias("s2")).unionByName(more)
-    return found.texts, R.lists(starts, "s1", "s2")
+    more = full.where("c < 2").join(R.repeated(full, "k", "w"), ["k", "w"]).select("tid", R.range_of(F.col("s"), F.col("s")).alias("q"))
+    return found.texts, R.lists(found.settled.unionByName(more), "q")
 
 
 def kept_rows(texts: DataFrame, starts: DataFrame, of: R.Kind, keep_text: bool) -> DataFrame:
@@ -113,7 +112,7 @@ def kept_rows(texts: DataFrame, starts: DataFrame, of: R.Kind, keep_text: bool)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offs = K.views(b.column(1))
-            row, s1, s2 = R.by_text(b, 2, ("s1", "s2"))
+            row, s1, s2 = R.ranges_by_text(b, 2)
             n_words, n_removed, kept = [], [], []
             raw = data.tobytes()
             for r in range(b.num_rows):

@@ -142,13 +142,14 @@ def repeated_starts(strings: list[bytes], window: int) -> tuple[np.ndarray, np.n
 
 def contexts(texts: DataFrame, rows: DataFrame, of: R.Kind) -> DataFrame:
     """(k, m, tid, s1, part): the bytes of all windows of a row."""
-    joined = texts.select("tid", "text").join(R.lists(rows, "a", "lo", "hi", "k", "m"), "tid").select("tid", "text", "rows")
+    joined = texts.select("tid", "text").join(R.lists(rows, "p", "k", "m"), "tid").select("tid", "text", "rows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             tid = b.column(0).to_numpy()
             data, offs = K.views(b.column(1))
-            row, a, lo, hi, k, m = R.by_text(b, 2, ("a", "lo", "hi", "k", "m"))
+            row, p, k, m = R.by_text(b, 2, ("p", "k", "m"))
+            a, lo, hi = R.parts(p)
             raw, s1 = data.tobytes(), a - lo
             parts = [raw[x:y] for x, y in zip((offs[row] + s1).tolist(), (offs[row] + a - hi + of.window).tolist())]
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(m), pa.array(tid[row]), pa.array(s1), pa.array(parts, pa.binary())], ["k", "m", "tid", "s1", "part"])
@@ -253,15 +254,14 @@ def merged(windows: DataFrame) -> DataFrame:
 
 
 def removals(docs: DataFrame, window: int, scratch: Scratch, text: str = "text", limit: int = SHARD) -> tuple[DataFrame, DataFrame]:
-    """The distinct texts, and (tid, rows) with the list of (s1, s2), ranges of starts of repeated windows."""
+    """The distinct texts, and (tid, rows) with the list of ranges of starts of repeated windows."""
     of = kind(window)
     found = R.find(docs, of, scratch, text)
     parts = scratch.write(contexts(found.texts, found.open, of), "contexts")
     dealt = shards(parts, limit).select("k", "m", "tid", "s1", "split", "part", "salt").repartition("k", "salt").sortWithinPartitions("k", "salt")
     solved = scratch.write(dealt.mapInArrow(lambda batches: _resolve(batches, window, limit), SOLVED), "solved")
     more = solved.where("w is null").select("tid", "s1", "s2").unionByName(merged(solved.where("w is not null")))
-    starts = found.settled.select("tid", F.col("s1").cast("long").alias("s1"), F.col("s2").cast("long").alias("s2"))
-    return found.texts, R.lists(starts.unionByName(more), "s1", "s2")
+    return found.texts, R.lists(found.settled.unionByName(more.select("tid", R.range_of(F.col("s1"), F.col("s2")).alias("q"))), "q")
 
 
 def kept_rows(texts: DataFrame, starts: DataFrame, window: int, keep_text: bool) -> DataFrame:
@@ -271,7 +271,7 @@ def kept_rows(texts: DataFrame, starts: DataFrame, window: int, keep_text: bool)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offs = K.views(b.column(1))
-            row, s1, s2 = R.by_text(b, 2, ("s1", "s2"))
+            row, s1, s2 = R.ranges_by_text(b, 2)
             out = []
             for r in range(b.num_rows):
                 t = data[offs[r] : offs[r + 1]]
