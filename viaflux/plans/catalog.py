@@ -239,8 +239,8 @@ query("trip_generation", f"WITH {_ZONES} SELECT node_id, round(p, 4) AS producti
 query("gravity_impedance", f"WITH {_ZONES} SELECT origin, dest, round(cost, 4) AS cost, round(pow(cost, CAST(-1.5 AS DOUBLE)), 8) AS f FROM im WHERE cost <= 300")(lambda s, v: GR.impedance(trips(v), SMALL).select("origin", "dest", r("cost").alias("cost"), r("f", 8).alias("f")))
 query("gravity_od", f"WITH {_ZONES} SELECT origin, dest, round(flow, 4) AS flow FROM od")(lambda s, v: rounded(demand(v)))
 query("od_significant", f"WITH {_ZONES} SELECT count(*) AS n, round(sum(round(flow, 4)), 1) AS total FROM od WHERE flow > (SELECT quantile_cont(flow, 0.1) FROM od WHERE flow > 0)")(lambda s, v: GR.significant(demand(v)).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(r("flow")), 1).alias("total")))
-query("desire_lines_top", f"WITH {_ZONES} SELECT origin, dest, round(flow, 4) AS flow, round(a.lat, 6) AS origin_lat, round(b.lon, 6) AS dest_lon FROM (SELECT origin, dest, round(flow, 6) AS flow FROM od ORDER BY round(flow, 6) DESC, origin, dest LIMIT 200) t JOIN fx_nodes a ON a.node_id = origin JOIN fx_nodes b ON b.node_id = dest")(
-    lambda s, v: GR.desire_lines(demand(v).withColumn("flow", F.round("flow", 6)), v["fx_nodes"]).select("origin", "dest", r("flow").alias("flow"), r("origin_lat", 6).alias("origin_lat"), r("dest_lon", 6).alias("dest_lon"))
+query("desire_lines_top", f"WITH {_ZONES} SELECT origin, dest, round(flow, 4) AS flow, round(a.lat, 6) AS origin_lat, round(b.lon, 6) AS dest_lon FROM (SELECT origin, dest, flow FROM od ORDER BY flow DESC, origin, dest LIMIT 200) t JOIN fx_nodes a ON a.node_id = origin JOIN fx_nodes b ON b.node_id = dest")(
+    lambda s, v: GR.desire_lines(demand(v), v["fx_nodes"]).select("origin", "dest", r("flow").alias("flow"), r("origin_lat", 6).alias("origin_lat"), r("dest_lon", 6).alias("dest_lon"))
 )
 query("zone_types", f"WITH {_ZONES} SELECT CASE WHEN is_urban THEN 'urban' WHEN is_federal THEN 'federal' ELSE 'other' END AS kind, count(*) AS n FROM z GROUP BY 1")(lambda s, v: M.zone_types(GR.zones(GR.zone_scores(v["fx_nodes"], v["fx_edges"]), 60)))
 
