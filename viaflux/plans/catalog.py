@@ -174,12 +174,9 @@ def contracted_edges(s: SparkSession, v: Views) -> DataFrame:
 
 
 query("node_degree", "SELECT node_id, count(*) AS degree FROM (SELECT src AS node_id FROM fx_edges UNION ALL SELECT dst FROM fx_edges) q GROUP BY node_id")(lambda s, v: N.node_degree(v["fx_edges"]))
-query("components", "WITH RECURSIVE reach(a, b) AS (SELECT DISTINCT src, src FROM fx_edges WHERE seg_idx % 5 = 0 AND src < 200 AND dst < 200 UNION SELECT a, n FROM reach JOIN (SELECT src AS m, dst AS n FROM fx_edges WHERE seg_idx % 5 = 0 AND src < 200 AND dst < 200 UNION SELECT dst, src FROM fx_edges WHERE seg_idx % 5 = 0 AND src < 200 AND dst < 200) e ON b = m) SELECT a AS node_id, min(b) AS component FROM reach GROUP BY a")(
-    lambda s, v: N.components(v["fx_edges"].where("seg_idx % 5 = 0 AND src < 200 AND dst < 200"), Scratch(s))
-)
-SQL["components"] = SQL["components"].replace("WITH fx_segments", "WITH RECURSIVE fx_segments").replace("RECURSIVE reach(a, b)", "reach(a, b)")
+query("components", "WITH RECURSIVE link(m, n) AS (SELECT src, dst FROM fx_edges UNION SELECT dst, src FROM fx_edges), reach(a, b) AS (SELECT m, m FROM link UNION SELECT a, n FROM reach JOIN link ON b = m) SELECT a AS node_id, min(b) AS component FROM reach GROUP BY a")(lambda s, v: N.components(v["fx_edges"], Scratch(s)))
 query("component_summary")(lambda s, v: N.component_summary(N.components(v["fx_edges"], Scratch(s))))
-query("isolated_nodes", "SELECT node_id FROM fx_nodes WHERE node_id IN (SELECT src FROM fx_edges WHERE seg_idx % 10 = 0 UNION SELECT dst FROM fx_edges WHERE seg_idx % 10 = 0)")(lambda s, v: N.without_isolated(v["fx_nodes"], v["fx_edges"].where("seg_idx % 10 = 0")).select("node_id"))
+query("connected_nodes", "SELECT node_id FROM fx_nodes WHERE node_id IN (SELECT src FROM fx_edges WHERE direction = 'CONN' UNION SELECT dst FROM fx_edges WHERE direction = 'CONN')")(lambda s, v: N.without_isolated(v["fx_nodes"], v["fx_edges"].where(F.col("direction") == N.CONNECTOR)).select("node_id"))
 
 # --- propagation
 
@@ -255,18 +252,25 @@ def simple(v: Views) -> DataFrame:
     return A.cheapest_parallel(A.with_cost(v["fx_edges"], DEFAULTS))
 
 
-_HOPS = f"WITH RECURSIVE sg AS (SELECT src, dst, min(cost) AS cost FROM ({_COST}) q WHERE src < 100 AND dst < 100 GROUP BY src, dst), walk(node, cost, n) AS (SELECT CAST(37 AS BIGINT), CAST(0 AS DOUBLE), 0 UNION SELECT node, min(cost), n FROM (SELECT dst AS node, walk.cost + sg.cost AS cost, n + 1 AS n FROM walk JOIN sg ON walk.node = sg.src WHERE n < 100) s GROUP BY node, n) SELECT node, round(min(cost), 6) AS cost FROM walk GROUP BY node"
-query("shortest_paths", _HOPS)(lambda s, v: A.shortest_paths(simple(v).where("src < 100 AND dst < 100"), s.createDataFrame([(37,)], "origin long"), Scratch(s)).select("node", r("cost", 6).alias("cost")))
-query("shortest_paths_relaxed", _HOPS)(lambda s, v: A.shortest_paths(simple(v).where("src < 100 AND dst < 100"), s.createDataFrame([(37,)], "origin long"), Scratch(s), limit=0).select("node", r("cost", 6).alias("cost")))
-for _n in ("shortest_paths", "shortest_paths_relaxed"):
-    SQL[_n] = SQL[_n].replace("WITH fx_segments", "WITH RECURSIVE fx_segments").replace(", RECURSIVE sg", ", sg")
+def _paths(origins: int) -> str:
+    """Cheapest walks from the first zones, hop by hop; a walk that was cheaper with fewer hops ends."""
+    return f"WITH RECURSIVE {_ZONES}, sg AS (SELECT src, dst, min(cost) AS cost FROM ({_COST}) q GROUP BY src, dst), walk(origin, node, cost, n) AS (SELECT node_id, node_id, CAST(0 AS DOUBLE), 0 FROM (SELECT node_id FROM z ORDER BY score DESC, node_id LIMIT {origins}) o UNION ALL SELECT origin, dst, min(walk.cost + sg.cost), n + 1 FROM walk JOIN sg ON walk.node = sg.src WHERE n < 80 GROUP BY origin, dst, n) SELECT origin, node, round(min(cost), 6) AS cost FROM walk GROUP BY origin, node"
+
+
+def paths(s: SparkSession, v: Views, origins: int, limit: int) -> DataFrame:
+    o = GR.zones(GR.zone_scores(v["fx_nodes"], v["fx_edges"]), origins).select(F.col("node_id").alias("origin"))
+    return A.shortest_paths(simple(v), o, Scratch(s), limit).select("origin", "node", r("cost", 6).alias("cost"))
+
+
+query("shortest_paths", _paths(20))(lambda s, v: paths(s, v, 20, A.BROADCAST_EDGES))
+query("shortest_paths_relaxed", _paths(1))(lambda s, v: paths(s, v, 1, 0))
 query("aon_flows")(lambda s, v: rounded(A.all_or_nothing(simple(v), demand(v), Scratch(s))))
 
 
-@query("msa_step", "SELECT edge_seq, round(assigned_volume * (1 - 1.0 / 3) + CASE WHEN seg_idx % 3 = 0 THEN 90 ELSE 0 END * (1.0 / 3), 4) AS assigned_volume FROM fx_edges")
+@query("msa_step", "SELECT edge_seq, round(assigned_volume * (1 - 1.0 / 3) + CASE WHEN direction = 'CRESCENTE' THEN 90 ELSE 0 END * (1.0 / 3), 4) AS assigned_volume FROM fx_edges")
 def msa_step(s: SparkSession, v: Views) -> DataFrame:
     e = v["fx_edges"]
-    aux = e.where("seg_idx % 3 = 0").select("src", "dst", "key", S.num(90).alias("flow"))
+    aux = e.where("direction = 'CRESCENTE'").select("src", "dst", "key", S.num(90).alias("flow"))
     return rounded(A.msa_step(e, aux, 2).select("edge_seq", "assigned_volume"))
 
 
@@ -350,14 +354,22 @@ query("regional_features", "SELECT seg_idx, round(avg(vmd) OVER (PARTITION BY re
 )
 
 
+def _observed(v: Views) -> DataFrame:
+    return _known(v).where("vmd_source = 'observed'")
+
+
+def _rest(v: Views) -> DataFrame:
+    return _known(v).where("vmd_source <> 'observed'")
+
+
 def _known(v: Views) -> DataFrame:
-    return v["fx_segments"].join(v["fx_mart"].select("seg_idx", "vmd"), "seg_idx").select(F.col("seg_idx").alias("id"), F.col("lat_inicial").alias("lat"), F.col("lon_inicial").alias("lon"), F.coalesce("vmd", S.num(0)).alias("vmd"), "extensao", "km_inicial")
+    return v["fx_segments"].join(v["fx_mart"].select("seg_idx", "vmd", "vmd_source"), "seg_idx").select("vmd_source", F.col("seg_idx").alias("id"), F.col("lat_inicial").alias("lat"), F.col("lon_inicial").alias("lon"), F.coalesce("vmd", S.num(0)).alias("vmd"), "extensao", "km_inicial")
 
 
-query("idw_estimates")(lambda s, v: rounded(MO.idw(_known(v).where("id % 10 = 0"), _known(v).where("id % 10 <> 0"))))
-query("forest_estimates")(lambda s, v: MO.tree_predictions(_known(v).where("id % 5 <> 0"), _known(v).where("id % 5 = 0"), ["lat", "lon", "extensao"]).select("id", r("prediction").alias("prediction")))
-query("boosted_estimates")(lambda s, v: MO.tree_predictions(_known(v).where("id % 5 <> 0"), _known(v).where("id % 5 = 0"), ["lat", "lon", "extensao"], kind="boosted").select("id", r("prediction").alias("prediction")))
-query("cluster_estimates")(lambda s, v: MO.cluster_means(_known(v).where("id % 5 <> 0"), _known(v).where("id % 5 = 0"), ["lat", "lon", "extensao"]).select("id", r("prediction").alias("prediction")))
+query("idw_estimates")(lambda s, v: rounded(MO.idw(_rest(v), _observed(v))))
+query("forest_estimates")(lambda s, v: MO.tree_predictions(_observed(v), _rest(v), ["lat", "lon", "extensao"]).select("id", r("prediction").alias("prediction")))
+query("boosted_estimates")(lambda s, v: MO.tree_predictions(_observed(v), _rest(v), ["lat", "lon", "extensao"], kind="boosted").select("id", r("prediction").alias("prediction")))
+query("cluster_estimates")(lambda s, v: MO.cluster_means(_observed(v), _rest(v), ["lat", "lon", "extensao"]).select("id", r("prediction").alias("prediction")))
 
 
 @query("estimate_all")

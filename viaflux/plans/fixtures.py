@@ -136,4 +136,7 @@ def with_sql(body: str) -> str:
     text = body.strip()
     if not parts:
         return text
-    return f"WITH {', '.join(parts)}{', ' + text[5:] if text.upper().startswith('WITH ') else ' ' + text}"
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if text.startswith(head):
+            return f"{head}{', '.join(parts)}, {text[len(head):]}"
+    return f"WITH {', '.join(parts)} {text}"
