@@ -55,21 +55,62 @@ def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return K.mix(a * U64(0xD6E8FEB86659FD93) + b)
 
 
+# --- compact arrays
+
+
+def planes(x: np.ndarray) -> bytes:
+    """32-bit numbers as their lowest bytes, then the next, and so on: small numbers leave zeros that compress away."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def small(x: np.ndarray) -> bytes:
+    """Counts in the fewest bytes that hold the largest."""
+    most = int(x.max(initial=0))
+    return x.astype("u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4" if most < 1 << 32 else "<u8").tobytes()
+
+
+def from_small(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{len(raw) // n}").astype(np.int64) if n else np.zeros(0, np.int64)
+
+
+def steps(keys: np.ndarray) -> bytes:
+    """Ascending 64-bit keys: the first whole, then the differences in as many bytes as the largest needs."""
+    d = np.diff(keys)
+    width = max(1, (int(d.max(initial=0)).bit_length() + 7) // 8)
+    return keys[:1].tobytes() + np.ascontiguousarray(d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def from_steps(raw: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[0] = np.frombuffer(raw[:8], np.uint8)
+    if n > 1:
+        width = (len(raw) - 8) // (n - 1)
+        out[1:, :width] = np.frombuffer(raw[8:], np.uint8).reshape(n - 1, width)
+    return np.cumsum(out.view("<u8").ravel(), dtype=U64)
+
+
 # --- chunks
 
 CHUNKS = "chunk long, docs binary, held binary, lengths binary, vocab binary, tokens binary"
 
 
 def chunked(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """One row for each chunk: row numbers and flags of its documents, tokens in each, vocabulary hashes in order, local numbers of all tokens."""
+    """One row for each chunk: row numbers and flags of its documents, tokens in each, vocabulary hashes, the most frequent first, and the local numbers of all tokens."""
     bound_batches(docs.sparkSession)
 
     def pack(texts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], n: int) -> pa.RecordBatch:
         rows, held, lengths, hashes = (np.concatenate(x) for x in zip(*texts))
-        vocab, tokens = np.unique(hashes, return_inverse=True)
+        vocab, tokens, often = np.unique(hashes, return_inverse=True, return_counts=True)
+        order = np.argsort(-often, kind="stable")  # frequent words get small numbers
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
         number = (TaskContext.get().partitionId() << 32) + n
-        cols = [rows.astype("<i8"), held.astype(np.uint8), lengths.astype("<i4"), vocab, tokens.astype("<i4")]
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in cols]], ["chunk", "docs", "held", "lengths", "vocab", "tokens"])
+        cols = [rows.astype("<i8").tobytes(), held.astype(np.uint8).tobytes(), lengths.astype("<i4").tobytes(), vocab[order].tobytes(), planes(rank[tokens])]
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *[pa.array([x], pa.binary()) for x in cols]], ["chunk", "docs", "held", "lengths", "vocab", "tokens"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_texts, size, n = [], 0, 0
@@ -97,7 +138,11 @@ class Chunk:
     def __init__(self, row: dict):
         g = lambda c, t: np.frombuffer(row[c], t)
         self.number, self.docs, self.held = row["chunk"], g("docs", "<i8"), g("held", np.uint8).astype(bool)
-        self.lengths, self.vocab, self.tokens = g("lengths", "<i4").astype(np.int64), g("vocab", "<u8"), g("tokens", "<i4")
+        self.lengths, stored = g("lengths", "<i4").astype(np.int64), g("vocab", "<u8")
+        order = np.argsort(stored)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.vocab, self.tokens = stored[order], place[from_planes(row["tokens"])]
         self.doc = np.repeat(np.arange(len(self.docs)), self.lengths)
         self.train = ~self.held[self.doc]
         word = self.vocab[self.tokens]
@@ -119,7 +164,7 @@ def _rows(b: pa.RecordBatch) -> Iterator[dict]:
 
 # --- count tables
 
-PARTS = "bucket int, kind int, chunk long, keys binary, counts binary"
+PARTS = "bucket int, kind int, chunk long, m int, keys binary, counts binary"
 
 
 def sent(chunks: DataFrame, buckets: int) -> DataFrame:
@@ -134,8 +179,8 @@ def sent(chunks: DataFrame, buckets: int) -> DataFrame:
                     cuts = np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
                     use = np.flatnonzero(np.diff(cuts))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(use.astype(np.int32)), pa.array(np.full(len(use), kind, np.int32)), pa.array(np.full(len(use), c.number, np.int64)), pa.array([keys[cuts[i] : cuts[i + 1]].tobytes() for i in use], pa.binary()), pa.array([counts[cuts[i] : cuts[i + 1]].astype("<i4").tobytes() for i in use], pa.binary())],
-                        ["bucket", "kind", "chunk", "keys", "counts"],
+                        [pa.array(use.astype(np.int32)), pa.array(np.full(len(use), kind, np.int32)), pa.array(np.full(len(use), c.number, np.int64)), pa.array(np.diff(cuts)[use].astype(np.int32)), pa.array([steps(keys[cuts[i] : cuts[i + 1]]) for i in use], pa.binary()), pa.array([small(counts[cuts[i] : cuts[i + 1]]) for i in use], pa.binary())],
+                        ["bucket", "kind", "chunk", "m", "keys", "counts"],
                     )
 
     return chunks.mapInArrow(run, PARTS)
@@ -148,9 +193,9 @@ COUNTED = "bucket int, kind int, chunk long, m int, counts binary, owned binary,
 def _add(table: pa.Table) -> pa.Table:
     """A bucket's counts: slices are added by key, each chunk gets its slice's sums back."""
     names = [x.split()[0] for x in COUNTED.split(", ")]
-    keys = [np.frombuffer(x.as_py(), "<u8") for x in table.column("keys")]
-    own = [np.frombuffer(x.as_py(), "<i4") for x in table.column("counts")]
-    lens = np.array([len(x) for x in keys])
+    lens = table.column("m").to_numpy().astype(np.int64)
+    keys = [from_steps(x.as_py(), n) for x, n in zip(table.column("keys"), lens.tolist())]
+    own = [from_small(x.as_py(), n) for x, n in zip(table.column("counts"), lens.tolist())]
     flat, mine = np.concatenate(keys), np.concatenate(own)
     types, inverse = np.unique(flat, return_inverse=True)
     total = np.bincount(inverse, mine, len(types)).astype(np.int64)
@@ -163,11 +208,10 @@ def _add(table: pa.Table) -> pa.Table:
     cuts = np.concatenate(([0], np.cumsum(lens)))
     seen = total[total > 0]
     stats = [int(seen.sum()), len(seen), *[int((seen == r).sum()) for r in range(1, TOP_COUNT + 2)]]
-    per_key = total[inverse].astype("<i8")
-    small = per_key.max(initial=0) < 1 << 31
+    per_key = total[inverse]
     n = len(lens)
     cols = [table.column("bucket"), table.column("kind"), table.column("chunk"), pa.array(lens.astype(np.int32))]
-    cols += [pa.array([(per_key[a:b].astype("<i4") if small else per_key[a:b]).tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()), pa.array([np.packbits(owned[a:b]).tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())]
+    cols += [pa.array([small(per_key[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary()), pa.array([np.packbits(owned[a:b]).tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())]
     cols += [pa.array([x] + [0] * (n - 1), pa.int64()) for x in stats]
     return pa.table(cols, names)
 
@@ -220,8 +264,7 @@ def evaluated(chunks: DataFrame, returned: DataFrame, words: dict, ngrams: dict,
                     counts, owned = [], []
                     for x in got[kind]:
                         m = x["m"]
-                        v = np.frombuffer(x["counts"], "<i4" if len(x["counts"]) == 4 * m else "<i8").astype(np.int64)
-                        counts.append(v)
+                        counts.append(from_small(x["counts"], m))
                         owned.append(np.unpackbits(np.frombuffer(x["owned"], np.uint8), count=m).astype(bool))
                     out = np.concatenate(counts), np.concatenate(owned)
                     assert len(out[0]) == n
