@@ -41,7 +41,10 @@ GIANT = 65_536
 #: Units whose ids a worker remembers.
 MEMO = 400_000
 NONE = -(1 << 60)
-_UNIT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+#: Units longer than this are searched one by one and not remembered.
+SHORT = 48
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_BREAK = re.compile(f"[^{MARK}](?={MARK})")
 
 
 @dataclass
@@ -54,6 +57,9 @@ class Vocabulary:
     longest: int
     unknown: int
     memo: dict[str, bytes] = field(default_factory=dict)
+    tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)  # by length of the piece: hashes, scores, ids
+    id_scores: np.ndarray | None = None
+    unit: re.Pattern | None = None  # independent stretches of a text
 
     @classmethod
     def load(cls, model: bytes) -> Vocabulary:
@@ -70,15 +76,32 @@ class Vocabulary:
             elif p.type == 6:
                 at[int(p.piece[3:5], 16)] = i
                 pieces[i] = bytes([int(p.piece[3:5], 16)])
-        return cls(scores, at, pieces, max(map(len, scores)), min(s for s, _ in scores.values()) - 10)
-
-    def arcs(self, s: str, i: int, end: int) -> Iterator[tuple[int, int]]:
-        """(end, score) of the pieces that begin at i and end by ``end``."""
-        found = self.scores.get(s[i])
-        yield i + 1, found[0] if found else self.unknown
-        for j in range(i + 2, min(end, i + self.longest) + 1):
-            if hit := self.scores.get(s[i:j]):
-                yield j, hit[0]
+        if any(MARK in p.lstrip(MARK) for p in scores):
+            raise ValueError("a piece has a blank mark after another character")
+        v = cls(scores, at, pieces, max(map(len, scores)), min(s for s, _ in scores.values()) - 10)
+        # a line feed that is in no piece stands alone as well
+        alone = "" if any("\n" in p for p in scores) else "\n"
+        v.unit = re.compile(f"{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+|\n")
+        v._index()
+        return v
+
+    def _index(self) -> None:
+        self.id_scores = np.zeros(len(self.pieces), np.int64)
+        for score, i in self.scores.values():
+            self.id_scores[i] = score
+        for byte, i in enumerate(self.bytes_at):
+            self.id_scores[i] = 0 if 0x80 <= byte < 0xC0 else self.unknown  # a character's first byte stands for it
+        for length in range(1, self.longest + 1):
+            rows = []
+            for p, (score, i) in self.scores.items():
+                if len(p) == length:
+                    h = 0
+                    for c in p:
+                        h = (h * int(_STEP) + ord(c) + 1) & (1 << 64) - 1
+                    rows.append((h, score, i))
+            rows.sort()
+            cols = list(zip(*rows)) if rows else [(0,), (NONE,), (-1,)]
+            self.tables[length] = (np.array(cols[0], np.uint64), np.array(cols[1], np.int64), np.array(cols[2], np.int64))
 
     def ids_of(self, piece: str) -> list[int]:
         hit = self.scores.get(piece)
@@ -86,15 +109,18 @@ class Vocabulary:
 
     def segment(self, s: str) -> list[int]:
         """Ids of the best segmentation of s."""
-        n = len(s)
-        best, back = [NONE] * (n + 1), [0] * (n + 1)
-        best[0] = 0
+        best, back = self.forward(s, 0, len(s), len(s))
+        return self.path(s, back, 0, len(s))
+
+    def forward(self, s: str, begin: int, stop: int, reach: int) -> tuple[dict[int, int], dict[int, int]]:
+        """Best score of each place up to ``reach`` from ``begin`` on, and the place before it; pieces begin before ``stop``."""
+        best, back = {begin: 0}, {}
         get, longest, unknown = self.scores.get, self.longest, self.unknown
-        for i in range(n):
-            here = best[i]
-            if here == NONE:
+        for i in range(begin, stop):
+            here = best.get(i)
+            if here is None:
                 continue
-            for j in range(i + 1, min(n, i + longest) + 1):
+            for j in range(i + 1, min(reach, i + longest) + 1):
                 hit = get(s[i:j])
                 if hit is not None:
                     v = here + hit[0]
@@ -102,29 +128,90 @@ class Vocabulary:
                     v = here + unknown
                 else:
                     continue
-                if v > best[j]:
+                if v > best.get(j, NONE):
                     best[j], back[j] = v, i
-        cuts = [n]
-        while cuts[-1]:
+        return best, back
+
+    def path(self, s: str, back: dict[int, int], begin: int, end: int) -> list[int]:
+        cuts = [end]
+        while cuts[-1] > begin:
             cuts.append(back[cuts[-1]])
         cuts.reverse()
         return [x for a, b in zip(cuts, cuts[1:]) for x in self.ids_of(s[a:b])]
 
+    def segment_many(self, units: list[str]) -> None:
+        """Put the ids of distinct short units into the memory; the search runs over all units of one length at once."""
+        by_length: dict[int, list[str]] = {}
+        for u in units:
+            by_length.setdefault(len(u) if len(u) <= 8 else -(-len(u) // 4) * 4, []).append(u)
+        for n, same in by_length.items():
+            for i in range(0, len(same), 16_384):
+                self._segment_equal(same[i : i + 16_384], n)
+
+    def _segment_equal(self, units: list[str], n: int) -> None:
+        """Units of up to n characters; what is short of n is filled and not looked at."""
+        lengths = np.fromiter(map(len, units), np.int64, len(units))
+        codes = np.frombuffer("".join([u.ljust(n, "\0") for u in units]).encode("utf-32-le"), np.uint32).reshape(-1, n).astype(np.uint64)
+        rows = len(units)
+        best = np.full((n + 1, rows), NONE, np.int64)
+        best[0] = 0
+        size, ids = np.zeros((n + 1, rows), np.int64), np.zeros((n + 1, rows), np.int64)
+        found: list[tuple[np.ndarray, np.ndarray]] = []  # by length of the piece: scores and ids, places by units
+        h = np.zeros((n, rows), np.uint64)
+        for length in range(1, min(n, self.longest) + 1):
+            h = h[: n - length + 1] * _STEP + codes.T[length - 1 :] + np.uint64(1)
+            keys, scores, numbers = self.tables[length]
+            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            hit = keys[at] == h
+            score = np.where(hit, scores[at], self.unknown if length == 1 else NONE)
+            found.append((score, np.where(hit, numbers[at], -1)))
+        for j in range(1, n + 1):
+            for length in range(min(j, len(found)), 0, -1):  # earlier beginnings first: they win ties
+                score, number = found[length - 1]
+                v = best[j - length] + score[j - length]
+                better = v > best[j]
+                best[j] = np.where(better, v, best[j])
+                size[j] = np.where(better, length, size[j])
+                ids[j] = np.where(better, number[j - length], ids[j])
+        out, count = np.full((rows, n), -2, np.int64), np.zeros(rows, np.int64)
+        place, every = lengths.copy(), np.arange(rows)
+        for k in range(n):
+            live = np.flatnonzero(place > 0)
+            if not len(live):
+                break
+            out[live, n - 1 - k] = ids[place[live], live]
+            count[live] += 1
+            place[live] -= size[place[live], live]
+        plain = ~(out == -1).any(axis=1)
+        flat = out.astype("<i4")
+        for r in every.tolist():
+            c = int(count[r])
+            self.memo[units[r]] = flat[r, n - c :].tobytes() if plain[r] else np.array(self.segment(units[r]), "<i4").tobytes()
+
+    def remember(self, units: list[str]) -> None:
+        """See that all short units are in the memory."""
+        new = [u for u in dict.fromkeys(units) if u not in self.memo and len(u) <= SHORT]
+        if new:
+            if len(self.memo) + len(new) > MEMO:
+                self.memo.clear()
+                new = [u for u in dict.fromkeys(units) if len(u) <= SHORT]
+            self.segment_many(new)
+
+    def ids_of_units(self, units: list[str]) -> bytes:
+        get = self.memo.get
+        return b"".join([get(u) or np.array(self.segment(u), "<i4").tobytes() for u in units])
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes | None]:
+        """Ids of ordinary texts as little-endian 32-bit numbers."""
+        out: list[bytes | None] = []
+        for i in range(0, len(texts), 1024):
+            part = [None if t is None else self.unit.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts[i : i + 1024]]
+            self.remember([u for x in part if x for u in x])
+            out += [None if x is None else self.ids_of_units(x) for x in part]
+        return out
+
     def encode(self, text: str) -> bytes:
-        """Ids of an ordinary text as little-endian 32-bit numbers."""
-        if not text:
-            return b""
-        out, memo = [], self.memo
-        for unit in _UNIT.findall(MARK + text.replace(" ", MARK)):
-            ids = memo.get(unit)
-            if ids is None:
-                ids = np.array(self.segment(unit), "<i4").tobytes()
-                if len(unit) <= 64:
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[unit] = ids
-            out.append(ids)
-        return b"".join(out)
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> str:
         if not ids:
@@ -146,41 +233,59 @@ class Vocabulary:
 
     # --- giant documents
 
+    # Every segmentation breaks where a blank mark follows another character. Between the first
+    # and the last such break of a chunk its score is one number; only the ends have states.
+
+    def breaks(self, s: str, start: int, end: int) -> tuple[int, int] | None:
+        inner = [m.start() + 1 for m in _BREAK.finditer(s, start, end)]
+        return (inner[0], inner[-1]) if inner else None
+
+    def score_of(self, ids: bytes) -> int:
+        return int(self.id_scores[np.frombuffer(ids, "<i4")].sum())
+
     def transfer(self, s: str, start: int, end: int) -> np.ndarray:
         """Best scores from entry states to exit states of the chunk s[start:end].
 
         State x at an edge: the segmentation first breaks x characters after the edge.
         """
-        width, n = self.longest, end - start
-        best = np.full((n + width, width), NONE, np.int64)  # by position, for each entry state
-        for x in range(min(width, n + width)):
-            best[x, x] = 0
-        for i in range(n):
-            here = best[i]
-            if here.max() <= NONE // 2:
-                continue
-            for j, score in self.arcs(s, start + i, len(s)):
-                np.maximum(best[j - start], here + score, out=best[j - start])
-        out = best[n : n + width].T.copy()
-        out[out <= NONE // 2] = NONE
+        width, out = self.longest, np.full((self.longest, self.longest), NONE, np.int64)
+        found = self.breaks(s, start, end)
+        first, last = found or (end, start)
+        tails = None
+        if found:
+            units = self.unit.findall(s[first:last])
+            self.remember(units)
+            middle = self.score_of(self.ids_of_units(units))
+            tails = self.forward(s, last, end, min(len(s), end + width - 1))[0]
+        for x in range(min(width, first - start + 1 if found else width)):
+            if found:
+                head = self.forward(s, start + x, first, first)[0].get(first)
+                if head is not None:
+                    for y in range(width):
+                        if end + y in tails:
+                            out[x, y] = head + middle + tails[end + y]
+            elif start + x >= end:
+                out[x, start + x - end] = 0  # the piece before reaches beyond the whole chunk
+            else:
+                best = self.forward(s, start + x, end, min(len(s), end + width - 1))[0]
+                for y in range(width):
+                    if end + y in best:
+                        out[x, y] = best[end + y]
         return out
 
-    def backtrace(self, s: str, start: int, end: int, entry: int, leave: int) -> list[int]:
+    def backtrace(self, s: str, start: int, end: int, entry: int, leave: int) -> bytes:
         """Ids of the pieces that begin in s[start:end], from one state to the other."""
-        n = end - start
-        best, back = {entry: 0}, {}
-        for i in range(entry, n):
-            here = best.get(i)
-            if here is None:
-                continue
-            for j, score in self.arcs(s, start + i, len(s)):
-                if here + score > best.get(j - start, NONE):
-                    best[j - start], back[j - start] = here + score, i
-        cuts = [n + leave]
-        while cuts[-1] > entry and cuts[-1] in back:
-            cuts.append(back[cuts[-1]])
-        cuts.reverse()
-        return [x for a, b in zip(cuts, cuts[1:]) for x in self.ids_of(s[start + a : start + b])]
+        found, a, b = self.breaks(s, start, end), start + entry, end + leave
+        if a >= end:
+            return b""
+        if not found:
+            return np.array(self.path(s, self.forward(s, a, end, b)[1], a, b), "<i4").tobytes()
+        first, last = found
+        units = self.unit.findall(s[first:last])
+        self.remember(units)
+        head = self.path(s, self.forward(s, a, first, first)[1], a, first)
+        tail = self.path(s, self.forward(s, last, end, b)[1], last, b)
+        return np.array(head, "<i4").tobytes() + self.ids_of_units(units) + np.array(tail, "<i4").tobytes()
 
 
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -253,7 +358,7 @@ def _giants(giant: DataFrame, shared, chunk: int, scratch: Scratch) -> DataFrame
         v = vocabulary(shared.value[0])
         for b in batches:
             rows = zip(*[b.column(i).to_pylist() for i in range(2, 6)])
-            ids = [np.array(v.backtrace(p, 0, n, e, x), "<i4").tobytes() for n, p, e, x in rows]
+            ids = [v.backtrace(p, 0, n, e, x) for n, p, e, x in rows]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], ["sp_row", "k", "ids"])
 
     traced = chunks.join(states, ["sp_row", "k"]).select("sp_row", "k", "n", "part", "enter", "leave").mapInArrow(trace, "sp_row long, k int, ids binary")
@@ -278,7 +383,7 @@ def encode(docs: DataFrame, text: str = "text", out: str = "sp_ids", model: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(shared.value[0])
         for b in batches:
-            ids = [None if t is None else v.encode(t) for t in b.column(col).to_pylist()]
+            ids = v.encode_all(b.column(col).to_pylist())
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(width)], pa.array(ids, pa.binary())], [*b.schema.names, out])
 
     ordinary = docs.where(~F.coalesce(big, F.lit(False))).mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"`{out}` binary"]))
