@@ -7,9 +7,11 @@ our own is used only where that setting is absent (tests, local mode).
 
 from __future__ import annotations
 
+import gc
 import io
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -74,5 +76,11 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
     def sweep(self) -> None:
-        """Let Spark remove shuffle files of finished queries now and not at some later collection."""
+        """Let Spark remove shuffle files of finished queries now and not at some later collection.
+
+        The first collection frees the plans, the second what they held.
+        """
+        gc.collect()
+        self.spark._jvm.System.gc()
+        time.sleep(0.3)
         self.spark._jvm.System.gc()
