@@ -174,7 +174,9 @@ class Found:
 def find(docs: DataFrame, kind: Kind, scratch: Scratch, text: str = "text") -> Found:
     texts = distinct_texts(docs, scratch, text)
     first = scratch.write(anchor_rows(texts, kind), "anchors")
-    again = scratch.write(first.join(repeated(first, "k", copies=copies()), "k"), "again")
+    # keys are written before they are joined, so that both sides of the join are plain shuffles: a hot key can be split
+    keys = scratch.write(repeated(first, "k", copies=copies()), "keys")
+    again = scratch.write(first.join(keys, "k"), "again")
     scratch.drop(first)
     spans = scratch.write(span_rows(texts, again, kind), "spans")
     scratch.drop(again)
@@ -182,7 +184,7 @@ def find(docs: DataFrame, kind: Kind, scratch: Scratch, text: str = "text") -> F
     a, lo, hi = place_columns()
     settled = scratch.write(spans.join(groups.where(F.col("m") > 1).select("k", "span"), ["k", "span"]).select("tid", range_of(a - lo, a - hi).alias("q")), "settled")
     scratch.drop(spans)
-    several = groups.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("least")).where((F.col("n") > 1) & (F.col("least") < 2)).select("k")
+    several = scratch.write(groups.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("least")).where((F.col("n") > 1) & (F.col("least") < 2)).select("k"), "several")
     rest = scratch.write(groups.join(several, "k").select("k", "span", "m", "tid", "p"), "open")
     scratch.drop(groups)
     return Found(texts, settled, rest)

@@ -59,10 +59,10 @@ def extended(texts: DataFrame, rows: DataFrame, of: R.Kind, length: int) -> Data
     return joined.mapInArrow(run, "k long, span long, m long, tid long, a long, lo long, hi long, left long, right long")
 
 
-def narrowed(rows: DataFrame, of: R.Kind, length: int) -> DataFrame:
+def narrowed(rows: DataFrame, of: R.Kind, length: int, scratch: Scratch) -> DataFrame:
     """The starts whose windows hold a repeated window of ``length``: rows with smaller lo and hi."""
     e = rows.select(F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("h"), "k", "m"), F.struct(F.lit(1).alias("side"), F.col("right").alias("h"), "k", "m"))).alias("e")).select("e.*")
-    again = e.where(F.col("h").isNotNull()).groupBy("k", "side", "h").agg(F.sum("m").alias("n")).where(F.col("n") > 1)
+    again = scratch.write(e.where(F.col("h").isNotNull()).groupBy("k", "side", "h").agg(F.sum("m").alias("n")).where(F.col("n") > 1), "halves")
     left = again.where("side = 0").select("k", F.col("h").alias("left"), F.lit(True).alias("has_left"))
     right = again.where("side = 1").select("k", F.col("h").alias("right"), F.lit(True).alias("has_right"))
     x = rows.join(left, ["k", "left"], "left").join(right, ["k", "right"], "left")
@@ -99,9 +99,9 @@ def removals(docs: DataFrame, window: int, scratch: Scratch, text: str = "text")
     rest = found.open.select("k", "span", "m", "tid", *R.place_columns())
     length = -(-window // 2)
     if of.anchor < length < window:
-        rest = narrowed(scratch.write(extended(found.texts, rest, of, length), "doubled"), of, length)
+        rest = narrowed(scratch.write(extended(found.texts, rest, of, length), "doubled"), of, length, scratch)
     full = scratch.write(whole_windows(found.texts, rest, of), "windows")
-    more = full.where("c < 2").join(R.repeated(full, "k", "w"), ["k", "w"]).select("tid", R.range_of(F.col("s"), F.col("s")).alias("q"))
+    more = full.where("c < 2").join(scratch.write(R.repeated(full, "k", "w"), "twice"), ["k", "w"]).select("tid", R.range_of(F.col("s"), F.col("s")).alias("q"))
     return found.texts, R.lists(found.settled.unionByName(more), "q")
 
 
