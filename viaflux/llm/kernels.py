@@ -7,6 +7,8 @@ object is made for a word.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -216,3 +218,13 @@ def anchors(values: np.ndarray, first: np.ndarray, window: int, k: int) -> tuple
     if not out:
         return np.zeros(0, U64), *[np.zeros(0, np.int64)] * 3
     return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: workers live on for tasks of other operators."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

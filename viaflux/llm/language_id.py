@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from viaflux.llm import kernels as K
 from viaflux.storage import bound_batches
 
 #: N-grams in a profile and of a document.
@@ -144,6 +145,7 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text", top: int =
         for b in batches:
             found = [matcher.predict(None if t is None else str(t)) for t in b.column(col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(width)], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*b.schema.names, *names])
+        K.give_back()
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"{names[0]} string", f"{names[1]} double"])
     return docs.mapInArrow(run, schema)

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from viaflux.llm import kernels as K
 from viaflux.storage import Scratch, bound_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -39,7 +40,9 @@ MARK = "▁"
 CHUNK = 16_384
 GIANT = 65_536
 #: Units whose ids a worker remembers.
-MEMO = 400_000
+MEMO = 150_000
+#: Characters of units that are searched together.
+TOGETHER = 65_536
 NONE = -(1 << 60)
 #: Units longer than this are searched one by one and not remembered.
 SHORT = 48
@@ -145,8 +148,9 @@ class Vocabulary:
         for u in units:
             by_length.setdefault(len(u) if len(u) <= 8 else -(-len(u) // 4) * 4, []).append(u)
         for n, same in by_length.items():
-            for i in range(0, len(same), 16_384):
-                self._segment_equal(same[i : i + 16_384], n)
+            rows = max(1, TOGETHER // n)
+            for i in range(0, len(same), rows):
+                self._segment_equal(same[i : i + rows], n)
 
     def _segment_equal(self, units: list[str], n: int) -> None:
         """Units of up to n characters; what is short of n is filled and not looked at."""
@@ -192,9 +196,8 @@ class Vocabulary:
         """See that all short units are in the memory."""
         new = [u for u in dict.fromkeys(units) if u not in self.memo and len(u) <= SHORT]
         if new:
-            if len(self.memo) + len(new) > MEMO:
-                self.memo.clear()
-                new = [u for u in dict.fromkeys(units) if len(u) <= SHORT]
+            if len(self.memo) + len(new) > MEMO:  # what this batch uses stays
+                self.memo = {u: self.memo[u] for u in dict.fromkeys(units) if u in self.memo}
             self.segment_many(new)
 
     def ids_of_units(self, units: list[str]) -> bytes:
@@ -204,8 +207,8 @@ class Vocabulary:
     def encode_all(self, texts: list[str | None]) -> list[bytes | None]:
         """Ids of ordinary texts as little-endian 32-bit numbers."""
         out: list[bytes | None] = []
-        for i in range(0, len(texts), 1024):
-            part = [None if t is None else self.unit.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts[i : i + 1024]]
+        for i in range(0, len(texts), 512):
+            part = [None if t is None else self.unit.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts[i : i + 512]]
             self.remember([u for x in part if x for u in x])
             out += [None if x is None else self.ids_of_units(x) for x in part]
         return out
@@ -385,6 +388,7 @@ def encode(docs: DataFrame, text: str = "text", out: str = "sp_ids", model: str
         for b in batches:
             ids = v.encode_all(b.column(col).to_pylist())
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(width)], pa.array(ids, pa.binary())], [*b.schema.names, out])
+        K.give_back()
 
     ordinary = docs.where(~F.coalesce(big, F.lit(False))).mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"`{out}` binary"]))
     scratch = Scratch(spark)
@@ -408,6 +412,7 @@ def decode(encoded: DataFrame, ids: str = "sp_ids", out: str = "decoded", model:
         for b in batches:
             texts = [None if x is None else v.decode(x) for x in b.column(col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(width)], pa.array(texts, pa.string())], [*b.schema.names, out])
+        K.give_back()
 
     return encoded.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields] + [f"`{out}` string"]))
 

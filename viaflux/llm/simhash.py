@@ -64,6 +64,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
             raw, cuts = K.LOWER[data].tobytes(), offs.tolist()
             fp = np.array([fingerprint(raw[s:e], shingle) for s, e in zip(cuts, cuts[1:])], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+        K.give_back()
 
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, fp long")
 
