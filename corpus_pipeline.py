@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viaflux.llm import decontaminate, language_id, sentencepiece_scan, simhash, substring_dedup
+from viaflux.llm import decontaminate, language_id, near_copies, sentencepiece_scan, substring_dedup
 from viaflux.llm.registry import held_out_remainder
 from viaflux.storage import Scratch
 
@@ -31,10 +31,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked fingerprints the first row stays."""
+    """Of each component of texts with a Jaccard similarity of 0.8 in five-word shingles the first row stays."""
     rows = docs.withColumn("__row", F.monotonically_increasing_id())  # docs is a written table: the same at every reading
-    groups = simhash.simhash(rows, key="__row")
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__row"))
+    first = near_copies.first_rows(rows, key="__row").withColumnRenamed("id", "__row")
     return rows.join(first, "__row", "left_semi").drop("__row")
 
 

@@ -1,0 +1,155 @@
+"""Near copies by the similarity of their sets of five-word shingles (the pipeline's stage).
+
+Two texts are linked if the Jaccard similarity of their sets is at least 0.8; linked ones form
+components, and the first of each component stays. Candidates come from min-hash signatures:
+``BANDS`` keys of ``ROWS`` minima each. A pair of similarity s has no key in common with
+probability (1 - s**ROWS)**BANDS: 5e-6 at 0.8, less above. Every candidate is verified on the
+whole sets (64-bit hashes of shingles), so no pair below 0.8 is linked.
+
+The work is on distinct word sequences, so a group of copies costs one row. In a key shared by
+more than ``BUCKET`` texts each text is first compared with the smallest one; pairs that are not
+in one component after that are then compared as well, so a large group of near copies needs
+no pairs, and none that could link two components is left out.
+
+Defined cases: words as in ``simhash`` (A-Z lowered); a text of less than five words is one
+shingle; null, empty and blank texts are copies of each other; an empty table gives an empty
+result.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from viaflux.llm import kernels as K
+from viaflux.llm.substring_dedup import word_tokens
+from viaflux.operators.components import connected_components
+from viaflux.storage import Scratch, bound_batches
+
+SHINGLE = 5
+#: The least similarity that links, as numerator and denominator.
+SIMILARITY = (4, 5)
+BANDS, ROWS = 40, 6
+#: Keys with more texts than this are compared with their smallest text first.
+BUCKET = 8
+
+
+def shingles(data: np.ndarray, offs: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles of lowered texts, and each row's first shingle (one more than rows)."""
+    values, first = word_tokens(data, offs)
+    at = np.arange(len(values))
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    end = first[row + 1]
+    ok = (at + k <= end) | (at == first[row])
+    return K.run_hashes(values, at[ok], np.minimum(at + k, end)[ok]), np.searchsorted(row[ok], np.arange(len(first)))
+
+
+def band_keys(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A row of ``BANDS`` keys for each row that has shingles."""
+    starts = first[:-1][np.diff(first) > 0]
+    turn = K._splitmix(2 * BANDS * ROWS, 0x6A09E667)
+    out = np.empty((len(starts), BANDS), K.U64)
+    for b in range(BANDS):
+        key = np.full(len(starts), b, K.U64)
+        for j in range(b * ROWS, (b + 1) * ROWS):
+            key = K.mix(key ^ np.minimum.reduceat((h ^ turn[2 * j]) * (turn[2 * j + 1] | K.U64(1)), starts))
+        out[:, b] = key
+    return out
+
+
+def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, words: hash of the word sequence, n: shingles, keys)."""
+    bound_batches(docs.sparkSession)
+    src = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offs = K.views(b.column(1))
+            for i, j in K.pieces(offs):
+                low, cuts = K.LOWER[data[offs[i] : offs[j]]], offs[i : j + 1] - offs[i]
+                h, first = shingles(low, cuts)
+                n = np.diff(first)
+                keys = band_keys(h, first) if len(h) else np.zeros((0, BANDS), K.U64)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n > 0))) * BANDS, pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
+                raw, at = low.tobytes(), cuts.tolist()
+                words = [hashlib.sha256(b" ".join(raw[s:e].split())).digest() for s, e in zip(at, at[1:])]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(words, pa.binary()), pa.array(n), lists], ["id", "words", "n", "keys"])
+        K.give_back()
+
+    return src.mapInArrow(run, "id long, words binary, n long, keys array<long>")
+
+
+def shingle_sets(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    """(id, items): the distinct shingles of each text in ascending order."""
+    bound_batches(docs.sparkSession)
+    src = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offs = K.views(b.column(1))
+            for i, j in K.pieces(offs):
+                h, first = shingles(K.LOWER[data[offs[i] : offs[j]]], offs[i : j + 1] - offs[i])
+                sets = [np.unique(h[s:e]).view(np.int64) for s, e in zip(first.tolist(), first[1:].tolist())]
+                cuts = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate(sets)))], ["id", "items"])
+        K.give_back()
+
+    return src.mapInArrow(run, "id long, items array<long>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough."""
+    side = lambda c, x: sets.select(F.col("id").alias(c), F.col("items").alias(x))
+    joined = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
+    over, under = SIMILARITY
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat = [(c.flatten().to_numpy(), np.concatenate(([0], np.cumsum(c.value_lengths().to_numpy())))) for c in (b.column(2), b.column(3))]
+            (x, p), (y, q) = flat
+            keep = np.zeros(b.num_rows, bool)
+            for r in range(b.num_rows):
+                n, m = p[r + 1] - p[r], q[r + 1] - q[r]
+                if min(n, m) * under >= max(n, m) * over:
+                    both = len(np.intersect1d(x[p[r] : p[r + 1]], y[q[r] : q[r + 1]], assume_unique=True))
+                    keep[r] = both * under >= (n + m - both) * over
+            yield b.select(["a", "b"]).filter(pa.array(keep))
+        K.give_back()
+
+    return joined.mapInArrow(run, "a long, b long")
+
+
+def first_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id): of each component of near copies the smallest key. ``docs`` is a written table with distinct keys."""
+    scratch = Scratch(docs.sparkSession)
+    signed = scratch.write(signatures(docs, key, text), "signatures")
+    firsts = scratch.write(signed.groupBy("words").agg(F.min("id").alias("id")).select("id"), "firsts")
+    rows = signed.join(firsts, "id", "left_semi").select("id", F.explode("keys").alias("key"))
+    keys = scratch.write(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "keys")
+    shared = scratch.write(rows.join(keys, "key").select("key", "id", "n"), "shared")
+    scratch.drop(signed)
+    members = scratch.write(shared.select("id").distinct(), "members")
+    sets = scratch.write(shingle_sets(docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(members, "id", "left_semi")), "sets")
+
+    small, large = shared.where(F.col("n") <= BUCKET), shared.where(F.col("n") > BUCKET)
+    pairs = small.alias("x").join(small.alias("y"), F.col("x.key") == F.col("y.key")).where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    least = scratch.write(large.groupBy("key").agg(F.min("id").alias("a")), "least")
+    stars = large.join(least, "key").where("id > a").select("a", F.col("id").alias("b"))
+    tried = scratch.write(pairs.unionByName(stars).distinct(), "tried")
+    links = scratch.write(verified(tried, sets), "links")
+
+    labels = connected_components(links, scratch)
+    named = scratch.write(large.select("key", "id").join(labels, large["id"] == labels["node"], "left").select("key", "id", F.coalesce("label", "id").alias("label")), "named")
+    mixed = scratch.write(named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"), "mixed")
+    apart = scratch.write(named.join(mixed, "key"), "apart")
+    more = apart.alias("x").join(apart.alias("y"), F.col("x.key") == F.col("y.key")).where("x.id < y.id AND x.label <> y.label").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    rest = scratch.write(more.distinct().join(tried, ["a", "b"], "left_anti"), "rest")
+    if not rest.isEmpty():
+        links = scratch.write(links.unionByName(verified(rest, sets)), "links")
+        labels = connected_components(links, scratch)
+    return firsts.join(labels.where("node <> label").select(F.col("node").alias("id")), "id", "left_anti")
