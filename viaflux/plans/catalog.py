@@ -202,7 +202,7 @@ query("coverage", "SELECT count(*) AS edges, count(volume) AS edges_known, round
 
 def propagated(s: SparkSession, v: Views) -> tuple[DataFrame, DataFrame]:
     scratch = Scratch(s)
-    return P.propagate(scratch.write(v["fx_edges"], "edges"), Params(propagation_steps=4), scratch)
+    return P.propagate(scratch.write(v["fx_edges"], "edges"), DEFAULTS, scratch)
 
 
 query("propagate_full")(lambda s, v: rounded(propagated(s, v)[0].select("edge_seq", "volume")))
@@ -274,7 +274,7 @@ def msa_step(s: SparkSession, v: Views) -> DataFrame:
     return rounded(A.msa_step(e, aux, 2).select("edge_seq", "assigned_volume"))
 
 
-query("msa_full")(lambda s, v: A.assign(v["fx_edges"].drop("assigned_volume"), GR.significant(demand(v)), Params(assign_steps=3), Scratch(s)).select("edge_seq", r("assigned_volume", 2).alias("assigned_volume")))
+query("msa_full")(lambda s, v: A.assign(v["fx_edges"].drop("assigned_volume"), GR.significant(demand(v, DEFAULTS)), DEFAULTS, Scratch(s)).select("edge_seq", r("assigned_volume", 2).alias("assigned_volume")))
 query(
     "merge_sources",
     "SELECT edge_seq, CASE WHEN direction = 'CONN' THEN NULL WHEN volume IS NULL AND assigned_volume > 0 THEN 'assigned' WHEN volume IS NOT NULL AND fixed THEN 'observed' WHEN volume IS NOT NULL THEN 'propagated' ELSE 'estimated' END AS vmd_source, round(CASE WHEN direction = 'CONN' THEN volume ELSE coalesce(volume, CASE WHEN assigned_volume > 0 THEN assigned_volume ELSE capacity * CAST(0.15 AS DOUBLE) END) END, 4) AS volume, round(CASE WHEN direction = 'CONN' THEN NULL ELSE coalesce(volume, CASE WHEN assigned_volume > 0 THEN assigned_volume ELSE capacity * CAST(0.15 AS DOUBLE) END) / capacity END, 4) AS vc_ratio FROM fx_edges",
@@ -377,7 +377,7 @@ def estimate_all(s: SparkSession, v: Views) -> DataFrame:
     """The whole estimation over the fixture, as its segment mart."""
     scratch = Scratch(s)
     ready = estimate.prepare(fixtures.raw_counts(v), placed(v), scratch)
-    e = estimate.run(ready, Params(propagation_steps=2, fill_sweeps=2, assign_steps=2, max_zones=30), scratch)
+    e = estimate.run(ready, DEFAULTS, scratch)
     return M.segment_mart(e.segments, e.edges).select("seg_idx", "sre", "vmd", "vmd_source", "vc_ratio")
 
 
