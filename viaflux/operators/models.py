@@ -18,18 +18,27 @@ def regional_features(segments: DataFrame) -> DataFrame:
     })
 
 
-def idw(targets: DataFrame, known: DataFrame, power: float = 2.0, cell_deg: float = 1.0) -> DataFrame:
-    """(id, idw): mean of known volumes weighted by inverse distance, from the 3 x 3 cells around a target.
+def idw(targets: DataFrame, known: DataFrame, power: float = 2.0) -> DataFrame:
+    """(id, idw): mean of all known volumes weighted by inverse distance in km; null for a target without a place.
 
-    Distances are in km; a cell bounds what a target is compared with.
+    Known points at one place are one row with their sum, and targets at one place are one row,
+    so what grows is distinct target places times distinct known places. Known points without a
+    place or volume do not count.
     """
-    ij = lambda d: (F.floor(F.col("lat") / d).alias("i"), F.floor(F.col("lon") / d).alias("j"))
-    k = known.select(F.col("lat").alias("klat"), F.col("lon").alias("klon"), "vmd", *ij(cell_deg))
-    around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    t = targets.select("id", "lat", "lon", *ij(cell_deg), around.alias("s")).withColumns({"i": F.col("i") + F.col("s.a"), "j": F.col("j") + F.col("s.b")})
+    k = known.where("lat is not null and lon is not null and vmd is not null").groupBy(F.col("lat").alias("klat"), F.col("lon").alias("klon")).agg(F.sum("vmd").alias("total"), F.count("vmd").alias("n"))
+    places = targets.where("lat is not null and lon is not null").select("lat", "lon").distinct()
     d = F.greatest(S.haversine_km(F.col("lat"), F.col("lon"), F.col("klat"), F.col("klon")), S.num(0.001))
     w = F.pow(d, S.num(-power))
-    return t.join(k, ["i", "j"]).groupBy("id").agg((F.sum(w * F.col("vmd")) / F.sum(w)).alias("idw"))
+    means = places.crossJoin(k).groupBy("lat", "lon").agg((F.sum(w * F.col("total")) / F.sum(w * F.col("n"))).alias("idw"))
+    return targets.join(means, ["lat", "lon"], "left").select("id", "idw")
+
+
+def _imputed(train: DataFrame, features: list[str]):
+    """A function that puts the median of train where a feature is unknown, so that every row keeps an estimate (0 where train knows none)."""
+    known = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    medians = train.agg(*[F.percentile(known(c), 0.5).alias(c) for c in features]).first()
+    filled = lambda c: F.coalesce(known(c), S.num(medians[c] if medians[c] is not None else 0))
+    return lambda df: df.withColumns({f"__f_{c}": filled(c) for c in features})
 
 
 def tree_predictions(train: DataFrame, test: DataFrame, features: list[str], label: str = "vmd", kind: str = "forest", seed: int = 42) -> DataFrame:
@@ -37,9 +46,10 @@ def tree_predictions(train: DataFrame, test: DataFrame, features: list[str], lab
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 
-    assemble = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="skip")
+    full, names = _imputed(train, features), [f"__f_{c}" for c in features]
+    assemble = VectorAssembler(inputCols=names, outputCol="__x")
     model = (RandomForestRegressor if kind == "forest" else GBTRegressor)(featuresCol="__x", labelCol=label, seed=seed)
-    return model.fit(assemble.transform(train)).transform(assemble.transform(test)).drop("__x")
+    return model.fit(assemble.transform(full(train))).transform(assemble.transform(full(test))).drop("__x", *names)
 
 
 def cluster_means(train: DataFrame, test: DataFrame, features: list[str], k: int = 8, label: str = "vmd", seed: int = 42) -> DataFrame:
@@ -47,11 +57,12 @@ def cluster_means(train: DataFrame, test: DataFrame, features: list[str], k: int
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
-    assemble = VectorAssembler(inputCols=features, outputCol="__raw", handleInvalid="skip")
-    a = assemble.transform(train)
+    full, names = _imputed(train, features), [f"__f_{c}" for c in features]
+    assemble = VectorAssembler(inputCols=names, outputCol="__raw")
+    a = assemble.transform(full(train))
     scale = StandardScaler(inputCol="__raw", outputCol="__x", withMean=True).fit(a)
     model = KMeans(featuresCol="__x", k=k, seed=seed, predictionCol="__c").fit(scale.transform(a))
-    place = lambda df: model.transform(scale.transform(assemble.transform(df))).drop("__raw", "__x")
+    place = lambda df: model.transform(scale.transform(assemble.transform(full(df)))).drop("__raw", "__x", *names)
     means = place(train).groupBy("__c").agg(F.avg(label).alias("prediction"))
     return place(test).join(F.broadcast(means), "__c", "left").drop("__c")  # k rows
 
