@@ -241,6 +241,15 @@ query("desire_lines_top", f"WITH {_ZONES} SELECT origin, dest, round(flow, 4) AS
 )
 query("zone_types", f"WITH {_ZONES} SELECT CASE WHEN is_urban THEN 'urban' WHEN is_federal THEN 'federal' ELSE 'other' END AS kind, count(*) AS n FROM z GROUP BY 1")(lambda s, v: M.zone_types(GR.zones(GR.zone_scores(v["fx_nodes"], v["fx_edges"]), 60)))
 
+# the queries above are bound to the 60 zones of their SQL; these serve all zones of the production parameters
+query("zone_scores_all")(lambda s, v: rounded(GR.zones(GR.zone_scores(v["fx_nodes"], v["fx_edges"]), DEFAULTS.max_zones).select("node_id", "degree", "is_urban", "is_federal", "has_observed", "total_capacity", "score")))
+query("trip_generation_all")(lambda s, v: rounded(trips(v, DEFAULTS).select("node_id", "production", "attraction")))
+query("gravity_impedance_all")(lambda s, v: GR.impedance(trips(v, DEFAULTS), DEFAULTS).select("origin", "dest", r("cost").alias("cost"), r("f", 8).alias("f")))
+query("gravity_od_all")(lambda s, v: rounded(demand(v, DEFAULTS)))
+query("od_significant_all")(lambda s, v: GR.significant(demand(v, DEFAULTS), DEFAULTS.flow_percentile).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(r("flow")), 1).alias("total")))
+query("desire_lines_top_all")(lambda s, v: GR.desire_lines(demand(v, DEFAULTS), v["fx_nodes"]).select("origin", "dest", r("flow").alias("flow"), r("origin_lat", 6).alias("origin_lat"), r("dest_lon", 6).alias("dest_lon")))
+query("zone_types_all")(lambda s, v: M.zone_types(GR.zones(GR.zone_scores(v["fx_nodes"], v["fx_edges"]), DEFAULTS.max_zones)))
+
 # --- assignment
 
 _COST = "SELECT *, CASE WHEN direction = 'CONN' THEN CAST(0.001 AS DOUBLE) WHEN capacity <= 0 THEN free_flow_time * 10 ELSE free_flow_time * (1 + CAST(0.15 AS DOUBLE) * pow(assigned_volume / capacity, 4)) END AS cost FROM fx_edges"
@@ -264,7 +273,9 @@ def paths(s: SparkSession, v: Views, origins: int, limit: int) -> DataFrame:
 
 query("shortest_paths", _paths(20))(lambda s, v: paths(s, v, 20, A.BROADCAST_EDGES))
 query("shortest_paths_relaxed", _paths(1))(lambda s, v: paths(s, v, 1, 0))
-query("aon_flows")(lambda s, v: rounded(A.all_or_nothing(simple(v), demand(v), Scratch(s))))
+query("shortest_paths_all")(lambda s, v: paths(s, v, DEFAULTS.max_zones, A.BROADCAST_EDGES))
+query("shortest_paths_relaxed_all")(lambda s, v: paths(s, v, DEFAULTS.max_zones, 0))
+query("aon_flows")(lambda s, v: rounded(A.all_or_nothing(simple(v), demand(v, DEFAULTS), Scratch(s))))
 
 
 @query("msa_step", "SELECT edge_seq, round(assigned_volume * (1 - 1.0 / 3) + CASE WHEN direction = 'CRESCENTE' THEN 90 ELSE 0 END * (1.0 / 3), 4) AS assigned_volume FROM fx_edges")
@@ -295,7 +306,7 @@ def sweep_params(s: SparkSession, v: Views) -> DataFrame:
     """Total flow and mean trip length for a population of gravity exponents, all in one plan."""
     rows = None
     for i, gamma in enumerate((0.5, 1.0, 1.5, 2.0, 2.5, 3.0)):
-        p = Params(max_zones=60, gravity_gamma=gamma)
+        p = DEFAULTS.with_values(gravity_gamma=gamma)
         pairs = GR.impedance(trips(v, p), p)
         d = GR.gravity(pairs).join(pairs.select("origin", "dest", "cost"), ["origin", "dest"]).agg(F.round(F.sum("flow"), 2).alias("flow"), F.round(F.sum(F.col("flow") * F.col("cost")) / F.sum("flow"), 4).alias("mean_km")).select(F.lit(i).alias("param_id"), S.num(gamma).alias("gravity_gamma"), "flow", "mean_km")
         rows = d if rows is None else rows.unionByName(d)
