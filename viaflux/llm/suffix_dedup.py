@@ -6,8 +6,8 @@ with bytes as tokens. The neighbourhoods that it leaves open (the edges of repea
 passages) are dealt out to shards by anchor. Each shard builds a suffix array by
 Larsson-Sadakane refinement in numpy, takes common prefixes by Kasai's method, and finds
 the strings that occur twice in it. An anchor whose neighbourhoods exceed a shard is split
-over several; their sorted runs are then merged: splitters are searched by bisection, each
-range of strings meets in one task, and neighbours in the merged order are compared.
+over several; the 64-bit hashes of their windows are then sorted by ranges, and neighbours in
+that order are compared. What ``repeats`` settles by hashes does not reach the suffix arrays.
 
 Defined cases: a null or empty text has no bytes; a text shorter than a window loses
 nothing; equal texts and repeated rows count as elsewhere for each other; a cut inside a
