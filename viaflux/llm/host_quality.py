@@ -43,21 +43,38 @@ def _dup_lines(data: np.ndarray, offs: np.ndarray) -> list[int]:
     return out
 
 
-def repeated_words(h: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
-    """Words in k-word windows that occur twice or more in their row."""
-    n = len(h)
+def repeated_words(data: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
+    """Words in k-word windows that occur twice or more in their row.
+
+    Hashes find the windows, the words themselves decide.
+    """
+    n, h = len(begin), K.span_hashes(data, begin, end)
     w = K.window_hashes(h, k)
     starts = np.flatnonzero(K.inside_rows(first, k, len(w)))
     if not len(starts):
         return np.zeros(n, bool)
     row = (np.searchsorted(first, starts, "right") - 1).astype(np.uint64)
     key = K.mix(w[starts] + K.mix(row + np.uint64(1)))
-    s = np.sort(key)
-    twice = np.unique(s[1:][s[1:] == s[:-1]])
-    if not len(twice):
-        return np.zeros(n, bool)
-    at = np.minimum(np.searchsorted(twice, key), len(twice) - 1)
-    return K.covered(starts[twice[at] == key], k, n)
+    order = np.argsort(key)
+    key, starts, row = key[order], starts[order], row[order]
+    lead = np.maximum.accumulate(np.where(np.concatenate(([True], key[1:] != key[:-1])), np.arange(len(key)), 0))
+    again = np.flatnonzero(lead != np.arange(len(key)))
+    a, b = starts[again], starts[lead[again]]
+    same, size = row[again] == row[lead[again]], end - begin
+    for j in range(k):
+        same &= size[a + j] == size[b + j]
+        todo = np.flatnonzero(same)
+        same[todo] = K.same_spans(data, begin[a[todo] + j], begin[b[todo] + j], size[a[todo] + j])
+    if same.all():
+        return K.covered(np.concatenate((a, b)), k, n)
+    hit = set()  # different windows with one hash: all of that hash are told apart by their words
+    odd = np.isin(key, key[again[~same]])
+    windows: dict[tuple, list[int]] = {}
+    for s, r in zip(starts[odd].tolist(), row[odd].tolist()):
+        windows.setdefault((r, *[data[begin[s + j] : end[s + j]].tobytes() for j in range(k)]), []).append(s)
+    hit.update(s for at in windows.values() if len(at) > 1 for s in at)
+    sure = ~np.isin(key[again], key[odd])
+    return K.covered(np.concatenate((a[sure], b[sure], np.array(sorted(hit), np.int64))), k, n)
 
 
 def text_features(column: pa.Array) -> list[pa.Array]:
@@ -68,7 +85,7 @@ def text_features(column: pa.Array) -> list[pa.Array]:
         starts, ends, first = K.word_spans(d, o, K.SPACES)
         n_words = np.diff(first)
         chars = K.row_sums(((d & 0xC0) != 0x80) & ~K.SPACES[d], o)
-        repeats = K.row_sums(repeated_words(K.span_hashes(d, starts, ends), first, REPEAT_WINDOW), first)
+        repeats = K.row_sums(repeated_words(d, starts, ends, first, REPEAT_WINDOW), first)
         parts.append((n_words, chars, K.row_sums(_SYMBOL[d], o), np.array(_dup_lines(d, o)), repeats))
     cols = [np.concatenate(x).astype(np.int64) for x in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 5
     failed = (cols[0] < MIN_WORDS) | (100 * cols[4] > MAX_REPEAT_PERCENT * cols[0])

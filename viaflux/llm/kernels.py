@@ -1,8 +1,10 @@
 """Vectorised text kernels over Arrow string buffers.
 
-Texts stay in the Arrow buffer: words are pairs of byte positions, and strings are
-compared through 64-bit polynomial hashes taken from prefix sums, so no Python
-object is made for a word.
+Texts stay in the Arrow buffer: words are pairs of byte positions, and no Python object is
+made for a word. Hashes only find candidates or place rows; what decides a result is compared
+on the bytes (``same_spans``) or by a cryptographic digest of them (``digests``). Words are
+hashed by eight bytes at a time through a bijection; runs of tokens, for anchors alone, by
+prefix sums.
 """
 
 from __future__ import annotations
@@ -10,9 +12,11 @@ from __future__ import annotations
 import ctypes
 import gc
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes hashed in one piece; the tables of powers have this length.
 BLOCK = 1 << 20
@@ -75,12 +79,13 @@ class PrefixHash:
 
 
 def views(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets (one more than rows) of an Arrow string column; null rows are empty."""
+    """Bytes and offsets (one more than rows) of an Arrow string or binary column; null rows are empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string())
+    raw = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
+    column = column.cast(pa.large_binary() if raw else pa.large_string())
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(b"" if raw else "")
     _, offsets, data = column.buffers()
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
@@ -116,16 +121,63 @@ def word_spans(data: np.ndarray, offs: np.ndarray, separators: np.ndarray) -> tu
     return starts, ends, np.searchsorted(starts, offs)
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on (zeros beyond the end) as one number."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+#: Masks that keep the first n of eight bytes.
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+#: Spans longer than this are hashed one by one.
+LONG_SPAN = 512
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span; spans are ascending."""
-    out = np.empty(len(starts), U64)
-    i, n = 0, len(starts)
-    while i < n:
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK, "right")))
-        s0 = starts[i]
-        out[i:j] = PrefixHash(BYTE_VALUES[data[s0 : ends[j - 1]]]).of(starts[i:j] - s0, ends[i:j] - s0)
-        i = j
-    return out
+    """A 64-bit hash of each byte span: eight bytes a step, each step a bijection of the state and of the bytes."""
+    size = ends - starts
+    h = mix(size.astype(U64) + U64(0x2545F4914F6CDD1D))
+    if not len(size):
+        return h
+    at, live, first = eights(data), np.flatnonzero(size <= LONG_SPAN), starts
+    step = 0
+    while len(live):
+        rest = size[live] - step
+        block = at[first[live] + step] & _KEEP[np.minimum(rest, 8)]
+        h[live] = mix((h[live] ^ block) * U64(0xD6E8FEB86659FD93))
+        live, step = live[rest > 8], step + 8
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return h
+
+
+def same_spans(data: np.ndarray, s1: np.ndarray, s2: np.ndarray, size: np.ndarray, other: np.ndarray | None = None) -> np.ndarray:
+    """Whether the bytes of equally long spans of ``data`` and of ``other`` (or ``data``) are the same."""
+    x = eights(data)
+    y = x if other is None else eights(other)
+    same, live, step = np.ones(len(size), bool), np.flatnonzero(size > 0), 0
+    while len(live):
+        rest = size[live] - step
+        ok = ((x[s1[live] + step] ^ y[s2[live] + step]) & _KEEP[np.minimum(rest, 8)]) == 0
+        same[live[~ok]] = False
+        live, step = live[ok & (rest > 8)], step + 8
+    return same
+
+
+def digests(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 128-bit BLAKE2 digest of each byte span as two signed numbers: equal ones are equal bytes."""
+    out = b"".join([blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist())])
+    return np.frombuffer(out, "<i8").reshape(-1, 2)
+
+
+def joined_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words with one blank after each, and where each begins and ends."""
+    size = ends - starts
+    begin = np.cumsum(size + 1) - (size + 1)
+    out = np.full(int(size.sum()) + len(size), 0x20, np.uint8)
+    inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    out[np.repeat(begin, size) + inner] = data[np.repeat(starts, size) + inner]
+    return out.tobytes(), begin, begin + size
 
 
 def window_hashes(h: np.ndarray, k: int) -> np.ndarray:

@@ -1,14 +1,18 @@
 """Substring dedup by level-wise doubling (operator 7).
 
 Windows of ``WINDOW`` words whose sequence also starts anywhere else, in the same document
-or another, are removed. Candidates are windows of 9 words at anchors (see ``repeats``);
-windows repeated at one length alone are extended to twice that length: 9, 18, then the 35
-words asked for. Windows whose whole neighbourhood is repeated are settled on the way.
+or another, are removed. The first level are windows of 9 words at anchors (see ``repeats``).
+Windows that are repeated at one length alone are extended to twice that length: 9, 18, then
+the 35 words asked for, each level counted over all documents, until no candidate survives
+or the length asked for is reached. Shorter levels are counted by 64-bit hashes, where a
+collision only keeps a candidate; at the last one, windows are equal if the 128-bit BLAKE2
+digests of their words are.
 
 Words are runs of anything but blank, tab, line feed, vertical tab, form feed and carriage
 return. Defined cases: a null or empty text has no words; a text shorter than a window loses
-nothing; equal texts and repeated rows count as elsewhere for each other; an empty table
-gives an empty result; other columns are not read by the report and kept by ``dedup``.
+nothing; equal texts and repeated rows count as elsewhere for each other; texts of any length
+are read whole; an empty table gives an empty result; other columns, of whatever name, are not
+read by the report and kept by ``dedup``.
 """
 
 from __future__ import annotations
@@ -34,75 +38,92 @@ def word_tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return K.span_hashes(data, starts, ends), first
 
 
+def word_bytes(data: np.ndarray, offs: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    starts, ends, first = K.word_spans(data, offs, K.SPACES)
+    return *K.joined_words(data, starts, ends), first
+
+
 def kind(window: int) -> R.Kind:
     """Lengths halve from the window down to the anchor: 35, 18, 9."""
-    return R.Kind(word_tokens, window, max(1, -(-window // 4)))
+    return R.Kind(word_tokens, word_bytes, window, max(1, -(-window // 4)))
 
 
-def extended(texts: DataFrame, rows: DataFrame, of: R.Kind, length: int) -> DataFrame:
-    """rows with ``left`` and ``right``: hashes of the windows of ``length`` that end and begin with the anchor (null at the edge of a text)."""
-    joined = texts.select("tid", "text").join(R.lists(rows, "a", "lo", "hi", "k", "span", "m"), "tid").select("tid", "text", "rows")
+def half_windows(rows: DataFrame, of: R.Kind, length: int) -> DataFrame:
+    """rows(gid, k, m, lo, hi, at, part) with ``left`` and ``right`` instead of ``part``: hashes of the windows of ``length`` that end and begin with the anchor, which is ``at`` words behind the first (null outside of the context)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tid = b.column(0).to_numpy()
-            for _, _, values, first, i, _, row, (a, lo, hi, k, span, m) in R.each_piece(b, 1, 2, ("a", "lo", "hi", "k", "span", "m"), of):
-                s = first[row] + a
-                cols = []
-                for x, y in ((s + of.anchor - length, s + of.anchor), (s, s + length)):
-                    ok = (x >= first[row]) & (y <= first[row + 1])
-                    h = np.zeros(len(s), K.U64)
-                    h[ok] = K.run_hashes(values, x[ok], y[ok])
-                    cols.append(pa.array(h.view(np.int64), mask=~ok))
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(span), pa.array(m), pa.array(tid[i + row]), pa.array(a), pa.array(lo), pa.array(hi), *cols], ["k", "span", "m", "tid", "a", "lo", "hi", "left", "right"])
-
-    return joined.mapInArrow(run, "k long, span long, m long, tid long, a long, lo long, hi long, left long, right long")
-
-
-def narrowed(rows: DataFrame, of: R.Kind, length: int, scratch: Scratch) -> DataFrame:
-    """The starts whose windows hold a repeated window of ``length``: rows with smaller lo and hi."""
-    e = rows.select(F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("h"), "k", "m"), F.struct(F.lit(1).alias("side"), F.col("right").alias("h"), "k", "m"))).alias("e")).select("e.*")
-    again = scratch.write(e.where(F.col("h").isNotNull()).groupBy("k", "side", "h").agg(F.sum("m").alias("n")).where(F.col("n") > 1), "halves")
+            data, offs = K.views(b.column(6))
+            values, first = word_tokens(data, offs)
+            w, at = K.window_hashes(values, length), first[:-1] + b.column(5).to_numpy()
+            cols = []
+            for x in (at + of.anchor - length, at):
+                ok = (x >= first[:-1]) & (x + length <= first[1:])
+                h = np.zeros(len(x), K.U64)
+                h[ok] = w[x[ok]]
+                cols.append(pa.array(h.view(np.int64), mask=~ok))
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(6)], *cols], ["gid", "k", "m", "lo", "hi", "at", "left", "right"])
+        K.give_back()
+
+    return rows.select("gid", "k", "m", "lo", "hi", "at", "part").mapInArrow(run, "gid long, k long, m long, lo int, hi int, at int, left long, right long")
+
+
+def narrowed(halves: DataFrame, of: R.Kind, length: int, scratch: Scratch) -> DataFrame:
+    """The candidates whose windows of ``length`` are repeated: rows with smaller lo and hi (the farthest and nearest start before the anchor)."""
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("h")), F.struct(F.lit(1).alias("side"), F.col("right").alias("h"))))
+    e = halves.select("k", "m", sides.alias("e")).select("k", "m", "e.side", "e.h").where(F.col("h").isNotNull())
+    again = scratch.write(e.groupBy("k", "side", "h").agg(F.sum("m").alias("n")).where("n > 1").select("k", "side", "h"), "halves")
     left = again.where("side = 0").select("k", F.col("h").alias("left"), F.lit(True).alias("has_left"))
     right = again.where("side = 1").select("k", F.col("h").alias("right"), F.lit(True).alias("has_right"))
-    x = rows.join(left, ["k", "left"], "left").join(right, ["k", "right"], "left")
-    # a window with start at most a - (length - anchor) holds the left one, one with start at least a - (window - length) the right one
+    x = halves.join(left, ["k", "left"], "left").join(right, ["k", "right"], "left")
+    # a window whose start is length - anchor or more before the anchor holds the left one, one with window - length or less holds the right one
     lo = F.when(F.col("has_left").isNull(), F.least("lo", F.lit(length - of.anchor - 1))).otherwise(F.col("lo"))
     hi = F.when(F.col("has_right").isNull(), F.greatest("hi", F.lit(of.window - length + 1))).otherwise(F.col("hi"))
-    return x.select("k", "tid", "a", lo.alias("lo"), hi.alias("hi"), "m").where("lo >= hi")
+    return x.select("gid", "k", "m", lo.alias("lo"), hi.alias("hi"), "at").where("lo >= hi")
 
 
-def whole_windows(texts: DataFrame, rows: DataFrame, of: R.Kind) -> DataFrame:
-    """(k, w, tid, s, m): every start that is left, with the hash of its window."""
-    joined = texts.select("tid", "text").join(R.lists(rows, "a", "lo", "hi", "k", "m"), "tid").select("tid", "text", "rows")
+def whole_windows(rows: DataFrame, of: R.Kind) -> DataFrame:
+    """(w1, w2, gid, r, m): every window that is still a candidate, by the digest of its words, r words behind the context's first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tid = b.column(0).to_numpy()
-            for _, _, values, first, i, _, row, (a, lo, hi, k, m) in R.each_piece(b, 1, 2, ("a", "lo", "hi", "k", "m"), of):
-                n = lo - hi + 1
-                at = np.repeat(np.arange(len(a)), n)
-                s = (a - lo)[at] + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-                begin = first[row][at] + s
-                order = np.argsort(begin, kind="stable")
-                w = np.empty(len(at), K.U64)
-                w[order] = K.run_hashes(values, begin[order], begin[order] + of.window)
-                yield pa.RecordBatch.from_arrays([pa.array(k[at]), pa.array(w.view(np.int64)), pa.array(tid[i + row][at]), pa.array(s), pa.array(m[at])], ["k", "w", "tid", "s", "c"])
-
-    return joined.mapInArrow(run, "k long, w long, tid long, s long, c long")
-
-
-def removals(docs: DataFrame, window: int, scratch: Scratch, text: str = "text") -> tuple[DataFrame, DataFrame]:
+            data, offs = K.views(b.column(5))
+            starts, ends, first = K.word_spans(data, offs, K.SPACES)
+            gid, m, lo, hi, at = (b.column(i).to_numpy().astype(np.int64) for i in range(5))
+            n = lo - hi + 1
+            row = np.repeat(np.arange(len(n)), n)
+            r = (at - lo)[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            x = first[:-1][row] + r
+            d = K.digests(data.tobytes(), starts[x], ends[x + of.window - 1])  # one blank between the words of a context
+            yield pa.RecordBatch.from_arrays([pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(gid[row]), pa.array(r.astype(np.int32)), pa.array(m[row])], ["w1", "w2", "gid", "r", "m"])
+        K.give_back()
+
+    return rows.select("gid", "m", "lo", "hi", "at", "part").mapInArrow(run, "w1 long, w2 long, gid long, r int, m long")
+
+
+def decided(found: R.Found, of: R.Kind, scratch: Scratch) -> DataFrame:
+    """(gid, r1, r2): the repeated windows of every context, level by level."""
+    texts = found.contexts.select("gid", "part")
+    rows = found.contexts.select("gid", "k", "m", "lo", "hi", F.col("lo").alias("at"), "part")
+    length, left = of.anchor, True
+    while left and (length := min(2 * length, of.window)) < of.window:
+        halves = scratch.write(half_windows(rows, of, length), "halves")
+        survivors = scratch.write(narrowed(halves, of, length, scratch), "survivors")
+        scratch.drop(halves)
+        left = not survivors.isEmpty()
+        rows = survivors.join(texts, "gid")
+    full = scratch.write(whole_windows(rows, of), "windows")
+    twice = scratch.write(full.groupBy("w1", "w2").agg(F.sum("m").alias("n")).where("n > 1").select("w1", "w2"), "twice")
+    out = scratch.write(full.join(twice, ["w1", "w2"]).select("gid", F.col("r").cast("long").alias("r1"), F.col("r").cast("long").alias("r2")), "decided")
+    scratch.drop(full, found.contexts)
+    return out
+
+
+def removals(src: DataFrame, window: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """The distinct texts, and (tid, rows) with the list of ranges of starts of repeated windows."""
     of = kind(window)
-    found = R.find(docs, of, scratch, text)
-    rest = found.open.select("k", "span", "m", "tid", *R.place_columns())
-    length = -(-window // 2)
-    if of.anchor < length < window:
-        rest = narrowed(scratch.write(extended(found.texts, rest, of, length), "doubled"), of, length, scratch)
-    full = scratch.write(whole_windows(found.texts, rest, of), "windows")
-    more = full.where("c < 2").join(scratch.write(R.repeated(full, "k", "w"), "twice"), ["k", "w"]).select("tid", R.range_of(F.col("s"), F.col("s")).alias("q"))
-    return found.texts, R.lists(found.settled.unionByName(more), "q")
+    found = R.find(src, of, scratch)
+    return found.texts, R.starts_of(found, decided(found, of, scratch), scratch)
 
 
 def kept_rows(texts: DataFrame, starts: DataFrame, of: R.Kind, keep_text: bool) -> DataFrame:
@@ -128,6 +149,7 @@ def kept_rows(texts: DataFrame, starts: DataFrame, of: R.Kind, keep_text: bool)
                 else:  # a text that loses nothing stays as it was
                     kept.append((t if gone is None else b" ".join(left)).decode())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["thash", "n_words", "n_removed", "kept"])
+        K.give_back()
 
     return joined.mapInArrow(run, "thash binary, n_words long, n_removed long, kept string")
 
@@ -138,7 +160,8 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     src = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
     texts, starts = removals(src, window, scratch)
     rows = scratch.write(kept_rows(texts, starts, kind(window), False), "kept")
-    out = src.select("doc_id", R.text_key().alias("thash")).join(rows, "thash", "left")
+    scratch.drop(texts, starts)
+    out = src.select("doc_id", R.text_key(F.col("text")).alias("thash")).join(rows, "thash", "left")
     zero = F.lit(0).cast("long")
     return out.select("doc_id", F.coalesce("n_words", zero).alias("n_words"), F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("kept", F.lit(EMPTY)).alias("kept_sha256"))
 
@@ -146,10 +169,10 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
 def dedup(docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
     """docs with repeated windows taken out of the text; columns and rows stay.
 
-    A text that loses words comes back as its kept words joined by blanks, perhaps empty.    """
+    A text that loses words comes back as its kept words joined by blanks, perhaps empty.
+    """
     scratch = Scratch(docs.sparkSession)
-    texts, starts = removals(docs, window, scratch, text)
-    changed = kept_rows(texts, starts, kind(window), True).where("n_removed > 0").select(F.col("thash").alias("__thash"), F.col("kept").alias("__kept"))
-    changed = scratch.write(changed, "changed")
-    out = docs.withColumn("__thash", R.text_key(f"`{text}`")).join(changed, "__thash", "left")
-    return out.select(*[F.coalesce("__kept", F.col(f"`{text}`")).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    texts, starts = removals(R.source(docs, text), window, scratch)
+    changed = scratch.write(kept_rows(texts, starts, kind(window), True).where("n_removed > 0").select("thash", "kept"), "changed")
+    scratch.drop(texts, starts)
+    return R.replaced(docs, changed, text)
