@@ -2,16 +2,16 @@
 
 Iterative operators cut their lineage by writing a table and reading it back.
 The folder is the one the cluster names in ``spark.checkpoint.dir``; a folder of
-our own is used only where that setting is absent (tests, local mode).
+our own is used only where that setting is absent and the master is local. Tables
+that an operator has not dropped itself go when the driver's Python ends.
 """
 
 from __future__ import annotations
 
-import gc
+import atexit
 import io
 import os
 import tempfile
-import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -22,8 +22,15 @@ from pyspark.sql import DataFrame, SparkSession
 LOCAL_ROOT = "file:///tmp/checkpoints/viaflux"
 
 
+#: Spark then removes the shuffle files of a query as it ends, not at some later collection.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def scratch_root(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_ROOT
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return named or LOCAL_ROOT
 
 
 _shipped: set[str] = set()
@@ -51,6 +58,24 @@ def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+_roots: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def _clear() -> None:
+    for root, spark in _roots.items():
+        try:
+            if spark.sparkContext._jsc is not None:
+                _delete(spark, root)
+        except Exception:  # noqa: BLE001, the JVM may be gone already
+            return
+
+
 class Scratch:
     """Tables of one run of an operator; ``drop`` frees one as soon as it is no longer read."""
 
@@ -63,24 +88,20 @@ class Scratch:
         """Write df, return it as a plain scan; its name is kept in ``df.scratch_path``."""
         self.n += 1
         path = f"{self.root}/{self.n:04d}_{tag}"
-        df.write.option("compression", "zstd").parquet(path)
+        _roots[self.root] = self.spark
+        before = self.spark.conf.get(SHUFFLE_CLEANUP, None)
+        self.spark.conf.set(SHUFFLE_CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(SHUFFLE_CLEANUP)
+            else:
+                self.spark.conf.set(SHUFFLE_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
-        self.sweep()
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t.scratch_path)
-            path.getFileSystem(conf).delete(path, True)
-
-    def sweep(self) -> None:
-        """Let Spark remove shuffle files of finished queries now and not at some later collection.
-
-        The first collection frees the plans, the second what they held.
-        """
-        gc.collect()
-        self.spark._jvm.System.gc()
-        time.sleep(0.3)
-        self.spark._jvm.System.gc()
+            _delete(self.spark, t.scratch_path)
