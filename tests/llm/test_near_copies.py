@@ -3,10 +3,11 @@
 import itertools
 import random
 
-import pytest
+import numpy as np
 
 import corpus_pipeline as pipeline
-from viaflux.llm import near_copies
+from viaflux.llm import kernels as K
+from viaflux.llm import simhash
 from viaflux.storage import Scratch
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -20,7 +21,12 @@ def plain_set(t):
 
 def plain_firsts(rows):
     sets, label = [plain_set(t) for _, t in rows], list(range(len(rows)))
-    find = lambda i: i if label[i] == i else find(label[i])
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
     for i, j in itertools.combinations(range(len(rows)), 2):
         if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
             a, b = sorted((find(i), find(j)))
@@ -35,9 +41,12 @@ def edited(words, n, rng):
     return " ".join(w)
 
 
-@pytest.mark.parametrize("bucket", [8, 1])
-def test_edited_copies(spark, monkeypatch, bucket):
-    monkeypatch.setattr(near_copies, "BUCKET", bucket)
+def firsts(spark, rows):
+    docs = Scratch(spark).write(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "docs")
+    return {r.doc_id for r in pipeline.near_duplicates(spark, docs, "").collect()}
+
+
+def test_edited_copies(spark):
     rng = random.Random(5)
     rows, base = [], [f"w{rng.randrange(5000)}" for _ in range(300)]
     for n in (1, 2, 3, 4, 5):  # originals of their own, and copies with n edited words
@@ -45,20 +54,52 @@ def test_edited_copies(spark, monkeypatch, bucket):
         rows += [(len(rows), " ".join(own)), (len(rows) + 1, edited(own, n, rng))]
     rows += [(100 + i, edited(base, rng.randrange(1, 4), rng)) for i in range(30)]
     rows += [(200 + i, edited(base, 60, rng)) for i in range(5)]
-    rows += [(300, "a b"), (301, "A\tB"), (302, "a b c"), (303, ""), (304, None)]
-    docs = Scratch(spark).write(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "docs")
-    kept = {r.doc_id for r in pipeline.near_duplicates(spark, docs, "").collect()}
+    rows += [(300, "a b"), (301, "A\tB"), (302, "a b c"), (303, ""), (304, None), (304, " ")]
+    kept = firsts(spark, rows)
     assert len(kept) == plain_firsts(rows)
     assert all(len({2 * i, 2 * i + 1} & kept) == 1 for i in range(5))
 
 
+def test_a_large_group_is_linked_through_others(spark):
+    """Copies that are far from the first one, but near to others: linked after the first round."""
+    rng = random.Random(8)
+    base, rows = [f"w{i}" for i in range(200)], []
+    for i in range(60):
+        if i % 12 == 0:
+            base = edited(base, 4, rng).split()
+        rows.append((i, edited(base, rng.randrange(3), rng)))
+    assert len(firsts(spark, rows)) == plain_firsts(rows)
+
+
+def test_recall(spark):
+    """Of pairs at every similarity from 0.8 on nine in ten are found."""
+    rng = random.Random(11)
+    docs = []
+    for i in range(400):
+        own = [f"v{rng.randrange(10**6)}" for _ in range(rng.randrange(60, 500))]
+        docs += [" ".join(own), edited(own, max(1, int(len(own) * rng.uniform(0.001, 0.0225))), rng)]
+    similar = [len(x & y) / len(x | y) for x, y in ((plain_set(docs[i]), plain_set(docs[i + 1])) for i in range(0, 800, 2))]
+    rows = [t for i, x in enumerate(similar) if x >= 0.8 for t in docs[2 * i : 2 * i + 2]]
+    lost = len(firsts(spark, list(enumerate(rows)))) - len(rows) // 2
+    assert len(rows) > 500 and lost <= 0.1 * len(rows) / 2
+
+
 def test_fixture(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null")
-    docs = Scratch(spark).write(docs, "docs")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    assert pipeline.near_duplicates(spark, docs, "").count() == plain_firsts(rows)
+    assert len(firsts(spark, rows)) == plain_firsts(rows)
 
 
 def test_empty(spark):
-    docs = Scratch(spark).write(spark.createDataFrame([], "doc_id long, text string"), "docs")
-    assert pipeline.near_duplicates(spark, docs, "").count() == 0
+    assert not firsts(spark, [])
+
+
+def test_wide_fingerprint_is_the_majority():
+    items = np.unique(np.random.default_rng(1).integers(0, 1 << 62, 600).astype(np.uint64))
+    fp, weak = simhash.wide_fingerprint(items)
+    lanes = [[int(K.mix(np.array([x ^ K.U64(0x6A09E667F3BCC909 * (2 * i + 1) & (1 << 64) - 1)]))[0]) for x in items] for i in range(18)]
+    votes = [2 * sum(h >> (8 * (b // 8) + 7 - b % 8) & 1 for h in lane) - len(items) for lane in lanes for b in range(64)]
+    assert [int(fp[i // 48]) >> i % 48 & 1 for i in range(1152)] == [v > 0 for v in votes]
+    for s in range(48):
+        six = sorted(range(24), key=lambda b: (abs(votes[24 * s + b]), b))[:6]
+        assert [int(weak[s // 2]) >> (30 * (s % 2) + 5 * j) & 31 for j in range(6)] == six

@@ -10,7 +10,8 @@ A benchmark item of fewer words than a window is one window of its own length.
 Defined cases: a null or empty text has no words; a benchmark row that is null or has no
 words gives no window; items with a null id still mark words but are not listed;
 repeated benchmark rows count once by id; repeated documents are judged one by one;
-empty tables give empty results or no hits.
+empty tables give empty results or no hits; other columns of any name stay, but those with
+the names of the new columns are replaced.
 """
 
 from __future__ import annotations
@@ -23,35 +24,57 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from viaflux.llm import frames
 from viaflux.llm import kernels as K
 from viaflux.storage import Scratch, bound_batches
 
 WINDOW = 10
 #: Bytes of benchmark text in one broadcast block.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
+#: Pairs of windows that are compared at once.
+PAIRS = 1 << 18
 
 
 class NgramSet:
-    """Windows of benchmark items by length: sorted hashes, the window's words and the items it occurs in."""
+    """Windows of benchmark items by length: sorted hashes, the word each begins with and its item.
+
+    Words stay in one buffer; a benchmark of n bytes takes about 6 n.
+    """
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int):
-        self.window = window
-        found: dict[int, dict[int, tuple[bytes, set[str | None]]]] = {}
+        self.window, self.items = window, [i for i, _ in items]
         data, offs = K.views(pa.array([t for _, t in items], pa.string()))
-        data = K.LOWER[data]
-        starts, ends, first = K.word_spans(data, offs, K.NON_ALNUM)
-        hashes, raw = K.span_hashes(data, starts, ends), data.tobytes()
-        for (item, _), a, b in zip(items, first[:-1].tolist(), first[1:].tolist()):
-            k = min(window, b - a)
-            if not k:
-                continue
-            words = [raw[s:e] for s, e in zip(starts[a:b].tolist(), ends[a:b].tolist())]
-            for i, w in enumerate(K.window_hashes(hashes[a:b], k).tolist()):
-                found.setdefault(k, {}).setdefault((w, b" ".join(words[i : i + k])), set()).add(item)
-        self.by_length = {}
-        for k, wins in found.items():
-            keys = sorted(wins)
-            self.by_length[k] = (np.array([w for w, _ in keys], K.U64), [t for _, t in keys], [sorted(x for x in wins[w] if x is not None) for w in keys])
+        self.data = K.LOWER[data]
+        starts, ends, first = K.word_spans(self.data, offs, K.NON_ALNUM)
+        hashes, n = K.span_hashes(self.data, starts, ends), np.diff(first)
+        self.starts, self.ends = starts.astype(np.int32), ends.astype(np.int32)
+        item_of = np.repeat(np.arange(len(items)), n)
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for k in np.unique(np.minimum(n[n > 0], window)).tolist():
+            w = K.window_hashes(hashes, k)
+            at = np.flatnonzero(K.inside_rows(first, k, len(w)))
+            at = at[(n[item_of[at]] == k) | (k == window)]
+            order = at[np.argsort(w[at], kind="stable")]
+            self.by_length[k] = (w[order], order.astype(np.int32), item_of[order].astype(np.int32))
+
+    def _matches(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, cand: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place in cand, item) of every candidate window and benchmark window with the same words."""
+        keys, begin, owner = self.by_length[k]
+        low, high = np.searchsorted(keys, w, "left"), np.searchsorted(keys, w, "right")
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        step = max(1, PAIRS // max(1, int((high - low).max(initial=0))))
+        for i in range(0, len(cand), step):
+            n = (high - low)[i : i + step]
+            who = np.repeat(np.arange(i, i + len(n)), n)
+            x = low[who] + np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
+            same = np.ones(len(who), bool)
+            for j in range(k):
+                p, q = cand[who] + j, begin[x] + j
+                same &= (ends[p] - starts[p]) == (self.ends[q] - self.starts[q])
+                todo = np.flatnonzero(same)
+                same[todo] = K.same_spans(data, starts[p[todo]], self.starts[q[todo]], (ends - starts)[p[todo]], self.data)
+            out.append((who[same], owner[x[same]]))
+        return tuple(np.concatenate(c) for c in zip(*out))
 
     def scan(self, data: np.ndarray, offs: np.ndarray) -> list[tuple[int, list[int], list[int], list[str]]]:
         """(words, starts and ends of hit byte spans, items) of each row; ``data`` is lowered."""
@@ -59,25 +82,20 @@ class NgramSet:
         for i, j in K.pieces(offs):
             d, o = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
             starts, ends, first = K.word_spans(d, o, K.NON_ALNUM)
-            h, raw = K.span_hashes(d, starts, ends), None
+            h = K.span_hashes(d, starts, ends)
             hit, items = np.zeros(len(h), bool), [set() for _ in range(j - i)]
-            for k, (keys, texts, owners) in self.by_length.items():
+            for k, (keys, _, _) in self.by_length.items():
                 w = K.window_hashes(h, k)
-                at = np.searchsorted(keys, w)
-                cand = np.flatnonzero((keys[np.minimum(at, len(keys) - 1)] == w) & K.inside_rows(first, k, len(w)))
+                at = np.minimum(np.searchsorted(keys, w), len(keys) - 1)
+                cand = np.flatnonzero((keys[at] == w) & K.inside_rows(first, k, len(w)))
                 if not len(cand):
                     continue
-                raw = raw if raw is not None else d.tobytes()
-                rows = np.searchsorted(first, cand, "right") - 1
-                good = []
-                for p, r, x in zip(cand.tolist(), rows.tolist(), at[cand].tolist()):
-                    words = b" ".join([raw[s:e] for s, e in zip(starts[p : p + k].tolist(), ends[p : p + k].tolist())])
-                    while x < len(keys) and keys[x] == w[p]:
-                        if texts[x] == words:
-                            good.append(p)
-                            items[r].update(owners[x])
-                        x += 1
-                hit |= K.covered(np.array(good, np.int64), k, len(h))
+                who, item = self._matches(d, starts, ends, cand, w[cand], k)
+                hit |= K.covered(cand[np.unique(who)], k, len(h))
+                pairs = np.unique(np.stack((np.searchsorted(first, cand[who], "right") - 1, item)), axis=1)
+                for r, x in pairs.T.tolist():
+                    if self.items[x] is not None:
+                        items[r].add(self.items[x])
             for r in range(j - i):
                 a, b = first[r], first[r + 1]
                 at = np.flatnonzero(hit[a:b]) + a
@@ -87,7 +105,7 @@ class NgramSet:
 
 def benchmark_blocks(benchmark: DataFrame, item: str, text: str, window: int, block_bytes: int) -> Iterator[NgramSet]:
     """The benchmark in blocks of about ``block_bytes``; its size is read first."""
-    src = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull())
+    src = benchmark.select(frames.col(item).cast("string").alias("item"), frames.col(text).cast("string").alias("text")).where(F.col("text").isNotNull())
     total = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     for i in range(blocks):
@@ -95,6 +113,9 @@ def benchmark_blocks(benchmark: DataFrame, item: str, text: str, window: int, bl
         yield NgramSet([(r["item"], r["text"]) for r in part.collect()], window)
 
 
+ADDED = {"words": "long", "starts": "ints", "ends": "ints", "items": "strings"}
+
+
 def scan_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, prefix: str = "decon") -> DataFrame:
     """docs with ``{prefix}_words`` (long), ``{prefix}_starts``, ``{prefix}_ends`` (byte spans of hit words) and ``{prefix}_items``.
 
@@ -103,35 +124,34 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", it
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    added = [f"{prefix}_{x}" for x in ("words", "starts", "ends", "items")]
-    clash = set(added) & set(docs.columns)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} exist already; choose another prefix")
+    added = {f"{prefix}_{x}": t for x, t in ADDED.items()}
+    out = frames.without(docs, *added)
+    names, at = out.columns, out.columns.index(text)
     kinds = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string())]
-    scratch, out, last = Scratch(spark), docs, None
+    scratch, last = Scratch(spark), None
     for block in benchmark_blocks(benchmark, item, item_text, window, block_bytes):
         shared = spark.sparkContext.broadcast(block)
-        again = added[0] in out.columns
+        again = len(out.columns) > len(names)
         if again:
             out = scratch.write(out, "block")
             if last is not None:
                 scratch.drop(last)
             last = out
-        col = out.columns.index(text)
-        schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"{n} {t}" for n, t in zip(added, ("long", "array<int>", "array<int>", "array<string>"))])
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, again=again, col=col, width=len(docs.columns), names=docs.columns) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, again=again, width=len(names)) -> Iterator[list[pa.Array]]:
             grams = shared.value
             for b in batches:
-                data, offs = K.views(b.column(col).cast(pa.string()))
+                data, offs = K.views(b.column(at).cast(pa.string()))
                 found = grams.scan(K.LOWER[data], offs)
                 if again:
                     old = [b.column(width + x).to_pylist() for x in (1, 2, 3)]
                     found = [(n, *_merge(s0, e0, s, e), sorted({*i0, *items})) for (n, s, e, items), s0, e0, i0 in zip(found, *old)]
-                new = [pa.array([x[i] for x in found], kind) for i, kind in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([*[b.column(x) for x in range(width)], *new], [*names, *added])
+                yield [pa.array([x[i] for x in found], kind) for i, kind in enumerate(kinds)]
+            K.give_back()
 
-        out = out.mapInArrow(run, schema)
+        wide = frames.mapped(out, run, **{(f"{n}_next" if again else n): t for n, t in added.items()})
+        cols = [f"c{i}" for i in range(len(wide.columns))]
+        out = wide.toDF(*cols).select(*cols[: len(names)], *cols[-len(added) :]).toDF(*names, *added)
     return out
 
 
@@ -148,22 +168,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     """
     if mode not in ("documents", "spans"):
         raise ValueError(mode)
-    scanned = scan_documents(docs, benchmark, text=text, **options)
+    names, at = docs.columns, docs.columns.index(text)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # no name can clash with the columns of the scan
+    scanned = scan_documents(plain, benchmark, text=f"c{at}", **options)
     if mode == "documents":
-        return scanned.where(F.size("decon_starts") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
-    col, width, names = docs.columns.index(text), len(docs.columns), docs.columns
+        return scanned.where(F.size("decon_starts") == 0).select(*plain.columns).toDF(*names)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         for b in batches:
-            texts = b.column(col).to_pylist()
-            for r, (s, e) in enumerate(zip(b.column(width + 1).to_pylist(), b.column(width + 2).to_pylist())):
+            texts = b.column(at).to_pylist()
+            for r, (s, e) in enumerate(zip(b.column(len(names) + 1).to_pylist(), b.column(len(names) + 2).to_pylist())):
                 if s:
                     texts[r] = cut_words(texts[r], s, e)
-            cols = [b.column(x) for x in range(width)]
-            cols[col] = pa.array(texts, b.schema.field(col).type)
-            yield pa.RecordBatch.from_arrays(cols, names)
+            yield [pa.array(texts, pa.string())]
 
-    return scanned.mapInArrow(cut, docs.schema)
+    done = frames.mapped(scanned, cut, kept="string")
+    return done.select(*["kept" if i == at else f"c{i}" for i in range(len(names))]).toDF(*names)
 
 
 def cut_words(text: str, starts: list[int], ends: list[int]) -> str:

@@ -6,12 +6,14 @@ compared with each profile by the out-of-place distance, and the nearest profile
 
 Profiles are fitted on a bounded sample: of each language about ``per_lang`` labelled
 documents, chosen by a hash of their key and text; the bound is a parameter. Prediction
-reads whole texts of all documents.
+reads whole texts of all documents, and compares them with all languages, ``MAX_LANGS``
+profiles at a time.
 
 Defined cases: a null text or one without a letter gives ``und`` with score 0; labelled rows
 with a null language or text teach nothing; equal distances go to the language that sorts
 first, equal counts to the smaller n-gram; without any profile all documents are ``und``;
-repeated rows are predicted one by one; an empty table gives an empty result.
+repeated rows are predicted one by one; an empty table gives an empty result; other columns
+of any name stay, but those with the names of the new columns are replaced.
 """
 
 from __future__ import annotations
@@ -23,14 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from viaflux.llm import frames
 from viaflux.llm import kernels as K
-from viaflux.storage import bound_batches
+from viaflux.storage import Scratch, bound_batches
 
 #: N-grams in a profile and of a document.
 TOP = 400
 #: Labelled documents of each language that profiles are fitted on, about.
 PER_LANG = 3000
-#: More languages than this are refused: profiles of all of them go to every task.
+#: Languages whose profiles go to a task at once (3 KB each).
 MAX_LANGS = 2000
 UNKNOWN = "und"
 Profiles = dict[str, list[int]]
@@ -98,17 +101,12 @@ class Matcher:
 
 
 def fit_profiles(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", top: int = TOP, per_lang: int = PER_LANG) -> Profiles:
-    """Profiles of all languages in ``labelled``; top n-grams of each go to the driver."""
+    """Profiles of all languages in ``labelled``; top n-grams of each (3 KB) go to the driver."""
     bound_batches(labelled.sparkSession)
     src = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(key).cast("string"), F.col(text).cast("string")).alias("h")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = src.groupBy("lang").count().limit(MAX_LANGS + 1).collect()
-    if len(sizes) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    if not sizes:
-        return {}
-    shares = {r["lang"]: min(1.0, per_lang / r["count"]) for r in sizes}
-    share = F.create_map(*[x for k, v in shares.items() for x in (F.lit(k), F.lit(v))])[F.col("lang")]
-    chosen = src.where(F.pmod("h", F.lit(1_000_000)) < share * 1_000_000).select("lang", "text")
+    sizes = Scratch(labelled.sparkSession).write(src.groupBy(F.col("lang").alias("of")).agg(F.count(F.lit(1)).alias("c")), "sizes")
+    share = F.least(F.lit(1.0), F.lit(float(per_lang)) / F.col("c"))
+    chosen = src.join(sizes, src["lang"] == sizes["of"]).where(F.pmod("h", F.lit(1_000_000)) < share * 1_000_000).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, tuple[list, list]] = {}
@@ -136,16 +134,31 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text", top: int =
     spark = docs.sparkSession
     bound_batches(spark)
     names = [f"{prefix}lang_pred", f"{prefix}score"]
-    if set(names) & set(docs.columns):
-        raise ValueError(f"columns {names} exist already; give a prefix")
-    shared, col, width = spark.sparkContext.broadcast((profiles, top)), docs.columns.index(text), len(docs.columns)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(*shared.value)
-        for b in batches:
-            found = [matcher.predict(None if t is None else str(t)) for t in b.column(col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(width)], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], [*b.schema.names, *names])
-        K.give_back()
-
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"{names[0]} string", f"{names[1]} double"])
-    return docs.mapInArrow(run, schema)
+    out = frames.without(docs, *names)
+    at, langs = out.columns.index(text), sorted(profiles)
+
+    def passing(shared, before: int | None):
+        """One block of languages; what an earlier block found wins equal scores, as its languages sort first."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
+            matcher = Matcher(*shared.value)
+            for b in batches:
+                found = [matcher.predict(None if t is None else str(t)) for t in b.column(at).to_pylist()]
+                if before is not None:
+                    old = zip(b.column(before).to_pylist(), b.column(before + 1).to_pylist())
+                    found = [new if o[0] == UNKNOWN or new[1] > o[1] else o for new, o in zip(found, old)]
+                yield [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
+            K.give_back()
+
+        return run
+
+    new, width = {names[0]: "string", names[1]: "double"}, len(out.columns)
+    for i in range(0, max(1, len(langs)), MAX_LANGS):
+        shared = spark.sparkContext.broadcast(({x: profiles[x] for x in langs[i : i + MAX_LANGS]}, top))
+        if i == 0:
+            out = frames.mapped(out, passing(shared, None), **new)
+        else:
+            out = frames.mapped(out, passing(shared, width), **{f"{n}_next": t for n, t in new.items()})
+            cols = [f"c{x}" for x in range(len(out.columns))]
+            out = out.toDF(*cols).select(*cols[:width], *cols[width + 2 :]).toDF(*out.columns[: width + 2])
+    return out

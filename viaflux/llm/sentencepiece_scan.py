@@ -1,15 +1,19 @@
 """SentencePiece encoding and decoding (operator 10).
 
-The segmentation is the one with the largest sum of piece scores over the pieces of a
+The segmentation is the one with the largest sum of log-probabilities over the pieces of a
 SentencePiece model file (a Viterbi search; of equal sums the one whose last piece begins
-first, then so on backwards). Ordinary documents are segmented unit by unit: no piece has
-a blank mark after another character, so the text between blank runs is independent.
+first, then so on backwards, as the library has it for unigram models). A unigram model brings
+its log-probabilities; of a merge model, whose scores are ranks, a piece of rank r gets
+-log(r + 2) by Zipf's law: nothing is trained. Log-probabilities are whole multiples of
+1/``UNIT``, so sums are exact. Ordinary documents are segmented unit by unit: no piece has a
+blank mark after another character, so the text between blank runs is independent.
 
 Giant documents are a max-plus parallel scan: they are cut into chunks; each chunk yields a
 matrix of best scores from every entry state to every exit state, a state being how many
-characters the piece that crosses the chunk's edge reaches into the next chunk; the
+characters the piece that crosses the chunk's edge reaches into the next chunk, and with each
+score the place of its path among those that end alike by the rule for equal sums; the
 matrices are combined associatively to one entry state for each chunk; every chunk is then
-backtraced on its own.
+backtraced on its own. The ids are those of the whole text, wherever it is cut.
 
 Decoding joins the pieces, turns byte pieces back into bytes, the blank mark into a blank,
 and takes off the blank put before the text; it gives back every text unchanged.
@@ -17,11 +21,13 @@ and takes off the blank put before the text; it gives back every text unchanged.
 Defined cases: a null text has null ids and decodes to null; an empty text has no ids and
 decodes to an empty one; the mark U+2581 in a text is the one character that SentencePiece
 itself cannot keep: it comes back as a blank; characters without a piece become their
-bytes; repeated rows are encoded one by one; an empty table gives an empty result.
+bytes; repeated rows are encoded one by one; an empty table gives an empty result; other
+columns of any name stay, but one with the name of the new column is replaced.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -31,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from viaflux.llm import frames
 from viaflux.llm import kernels as K
 from viaflux.storage import Scratch, bound_batches
 
@@ -44,6 +51,10 @@ MEMO = 150_000
 #: Characters of units that are searched together.
 TOGETHER = 65_536
 NONE = -(1 << 60)
+#: Scores are log-probabilities times this.
+UNIT = 1024
+#: Chunks of giant documents that one task takes.
+CHUNKS_A_TASK = 8
 #: Units longer than this are searched one by one and not remembered.
 SHORT = 48
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -52,7 +63,7 @@ _BREAK = re.compile(f"[^{MARK}](?={MARK})")
 
 @dataclass
 class Vocabulary:
-    """Pieces with integer scores; a character without a piece costs 10 more than the worst piece."""
+    """Pieces with integer scores; a character without a piece costs 10 units more than the worst piece."""
 
     scores: dict[str, tuple[int, int]]
     bytes_at: list[int]
@@ -70,18 +81,19 @@ class Vocabulary:
 
         m = pb.ModelProto()
         m.ParseFromString(model)
+        ranks = m.trainer_spec.model_type == 2
         scores, at, pieces = {}, [0] * 256, []
         for i, p in enumerate(m.pieces):
             pieces.append("")
             if p.type == 1:
-                scores[p.piece] = (round(p.score), i)
+                scores[p.piece] = (round(UNIT * (-math.log(2 - p.score) if ranks else p.score)), i)
                 pieces[i] = p.piece
             elif p.type == 6:
                 at[int(p.piece[3:5], 16)] = i
                 pieces[i] = bytes([int(p.piece[3:5], 16)])
         if any(MARK in p.lstrip(MARK) for p in scores):
             raise ValueError("a piece has a blank mark after another character")
-        v = cls(scores, at, pieces, max(map(len, scores)), min(s for s, _ in scores.values()) - 10)
+        v = cls(scores, at, pieces, max(map(len, scores)), min(s for s, _ in scores.values()) - 10 * UNIT)
         # a line feed that is in no piece stands alone as well
         alone = "" if any("\n" in p for p in scores) else "\n"
         v.unit = re.compile(f"{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+|\n")
@@ -246,34 +258,54 @@ class Vocabulary:
     def score_of(self, ids: bytes) -> int:
         return int(self.id_scores[np.frombuffer(ids, "<i4")].sum())
 
+    def fan(self, s: str, start: int, stop: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each place from ``start`` to ``reach`` and each entry state: the best score, and the place of its path among those of all states.
+
+        The path whose last piece begins first comes first, of equal beginnings the one that comes
+        first there; a piece that began before the chunk began first of all.
+        """
+        width, n, get = self.longest, reach - start + 1, self.scores.get
+        best, rank = np.full((n, width), NONE, np.int64), np.zeros((n, width), np.int64)
+        every = np.arange(width)
+        for j in range(n):
+            here, begin = best[j], np.full(width, n, np.int64)
+            for i in range(max(0, j - width), min(j, stop - start)):
+                hit = get(s[start + i : start + j])
+                if hit is None and i < j - 1:
+                    continue
+                v = best[i] + (hit[0] if hit else self.unknown)
+                better = v > here
+                here[better], begin[better] = v[better], i
+            if j < width:
+                here[j], begin[j] = 0, -1
+            key = begin * width + np.where((begin >= 0) & (begin < n), rank[np.minimum(begin, n - 1), every], 0)
+            rank[j, np.argsort(key, kind="stable")] = every
+        best[best <= NONE // 2] = NONE
+        return best, rank
+
     def transfer(self, s: str, start: int, end: int) -> np.ndarray:
-        """Best scores from entry states to exit states of the chunk s[start:end].
+        """Two matrices from entry to exit states of the chunk s[start:end]: best scores, and for each exit the order of the entries' paths.
 
         State x at an edge: the segmentation first breaks x characters after the edge.
         """
-        width, out = self.longest, np.full((self.longest, self.longest), NONE, np.int64)
+        width, out = self.longest, np.zeros((2, self.longest, self.longest), np.int64)
+        out[0] = NONE
         found = self.breaks(s, start, end)
-        first, last = found or (end, start)
-        tails = None
-        if found:
-            units = self.unit.findall(s[first:last])
-            self.remember(units)
-            middle = self.score_of(self.ids_of_units(units))
-            tails = self.forward(s, last, end, min(len(s), end + width - 1))[0]
-        for x in range(min(width, first - start + 1 if found else width)):
-            if found:
-                head = self.forward(s, start + x, first, first)[0].get(first)
-                if head is not None:
-                    for y in range(width):
-                        if end + y in tails:
-                            out[x, y] = head + middle + tails[end + y]
-            elif start + x >= end:
-                out[x, start + x - end] = 0  # the piece before reaches beyond the whole chunk
-            else:
-                best = self.forward(s, start + x, end, min(len(s), end + width - 1))[0]
-                for y in range(width):
-                    if end + y in best:
-                        out[x, y] = best[end + y]
+        if not found:
+            best, rank = self.fan(s, start, end, end + width - 1)
+            n = min(width, len(s) - end + 1)
+            out[0, :, :n], out[1, :, :n] = best[end - start : end - start + n].T, rank[end - start : end - start + n].T
+            return out
+        first, last = found
+        units = self.unit.findall(s[first:last])
+        self.remember(units)
+        middle = self.score_of(self.ids_of_units(units))
+        tails = self.forward(s, last, end, min(len(s), end + width - 1))[0]
+        best, rank = self.fan(s, start, first, first)
+        tail = np.array([tails.get(end + y, NONE) for y in range(width)], np.int64)
+        out[0] = best[-1][:, None] + middle + tail[None, :]
+        out[0][(best[-1] == NONE)[:, None] | (tail == NONE)[None, :]] = NONE
+        out[1] = rank[-1][:, None]
         return out
 
     def backtrace(self, s: str, start: int, end: int, entry: int, leave: int) -> bytes:
@@ -292,22 +324,32 @@ class Vocabulary:
 
 
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Max-plus product; associative."""
-    out = (a[:, :, None] + b[None, :, :]).max(axis=1)
-    out[out <= NONE // 2] = NONE
+    """Max-plus product of transfers; associative. Equal sums go to the state whose path comes first."""
+    width = a.shape[1]
+    total = a[0][:, :, None] + b[0][None, :, :]
+    order = np.where(total == total.max(axis=1, keepdims=True), b[1][None, :, :], width)
+    via = order.argmin(axis=1)
+    x, z = np.indices(via.shape)
+    out = np.empty_like(a)
+    out[0] = total[x, via, z]
+    key = b[1][via, z] * width + a[1][x, via] + np.where(out[0] <= NONE // 2, width * width, 0)
+    out[1] = np.argsort(np.argsort(key, axis=0, kind="stable"), axis=0, kind="stable")
+    out[0][out[0] <= NONE // 2] = NONE
     return out
 
 
-def entry_states(matrices: list[np.ndarray]) -> list[int]:
-    """The state at every edge (one more than matrices) on the best path from state 0 to state 0."""
-    after = [None] * len(matrices) + [np.where(np.arange(len(matrices[0])) == 0, 0, NONE)]
-    for i in range(len(matrices) - 1, -1, -1):
-        v = (matrices[i] + after[i + 1][None, :]).max(axis=1)
-        after[i] = np.where(v <= NONE // 2, NONE, v)
+def entry_states(transfers: list[np.ndarray]) -> list[int]:
+    """The state at every edge (one more than transfers) on the best path from state 0 to state 0."""
+    width = transfers[0].shape[1]
+    before = [np.where(np.arange(width) == 0, 0, NONE)]
+    for m in transfers[:-1]:
+        v = (before[-1][:, None] + m[0]).max(axis=0)
+        before.append(np.where(v <= NONE // 2, NONE, v))
     states = [0]
-    for m, rest in zip(matrices, after[1:]):
-        states.append(int(np.argmax(m[states[-1]] + rest)))
-    return states
+    for m, v in zip(reversed(transfers), reversed(before)):
+        total = v + m[0][:, states[-1]]
+        states.append(int(np.where(total == total.max(), m[1][:, states[-1]], width).argmin()))
+    return states[::-1]
 
 
 _loaded: dict[int, Vocabulary] = {}
@@ -330,6 +372,8 @@ def read_model(path: str = MODEL) -> bytes:
 def _giants(giant: DataFrame, shared, chunk: int, scratch: Scratch) -> DataFrame:
     """(sp_row, ids) of giant texts; rows of ``giant`` are (sp_row, text)."""
     width = shared.value[1]
+    total = giant.agg(F.sum(F.ceil((F.length("text") + 1) / F.lit(chunk)))).first()[0] or 0
+    tasks = max(1, -(-total // CHUNKS_A_TASK))  # told, as chunks have few bytes for their work
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -338,24 +382,25 @@ def _giants(giant: DataFrame, shared, chunk: int, scratch: Scratch) -> DataFrame
                 for k, at in enumerate(range(0, len(s), chunk)):  # the pieces that begin in a chunk may reach beyond it
                     yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), pa.array([k], pa.int32()), pa.array([min(chunk, len(s) - at)], pa.int32()), pa.array([s[at : at + chunk + width]])], ["sp_row", "k", "n", "part"])
 
-    chunks = scratch.write(giant.mapInArrow(split, "sp_row long, k int, n int, part string").repartition("sp_row", "k"), "chunks")
-
-    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def transfers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(shared.value[0])
         for b in batches:
             m = [v.transfer(p, 0, n).tobytes() for n, p in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(m, pa.binary())], ["sp_row", "k", "m"])
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(4)], pa.array(m, pa.binary())], ["sp_row", "k", "n", "part", "m"])
+        K.give_back()
 
-    # one matrix a chunk (2 KB for 16,384 characters): a document's matrices meet in one task
-    per_doc = chunks.mapInArrow(matrices, "sp_row long, k int, m binary").groupBy("sp_row").agg(F.sort_array(F.collect_list(F.struct("k", "m"))).alias("ms"))
+    cut = giant.mapInArrow(split, "sp_row long, k int, n int, part string").repartition(tasks, "sp_row", "k")
+    chunks = scratch.write(cut.mapInArrow(transfers, "sp_row long, k int, n int, part string, m binary"), "chunks")
+    # one matrix a chunk (4 KB for 16,384 characters): a document's matrices meet in one task
+    per_doc = chunks.groupBy("sp_row").agg(F.sort_array(F.collect_list(F.struct("k", "m"))).alias("ms"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row, ms in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                st = entry_states([np.frombuffer(x["m"], np.int64).reshape(width, width) for x in ms])
+                st = entry_states([np.frombuffer(x["m"], np.int64).reshape(2, width, width) for x in ms])
                 yield pa.RecordBatch.from_arrays([pa.array([row] * len(ms), pa.int64()), pa.array([x["k"] for x in ms], pa.int32()), pa.array(st[:-1], pa.int32()), pa.array(st[1:], pa.int32())], ["sp_row", "k", "enter", "leave"])
 
-    states = per_doc.mapInArrow(scan, "sp_row long, k int, enter int, leave int")
+    states = per_doc.mapInArrow(scan, "sp_row long, k int, enter int, leave int").repartition(tasks, "sp_row", "k")
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(shared.value[0])
@@ -363,9 +408,16 @@ def _giants(giant: DataFrame, shared, chunk: int, scratch: Scratch) -> DataFrame
             rows = zip(*[b.column(i).to_pylist() for i in range(2, 6)])
             ids = [v.backtrace(p, 0, n, e, x) for n, p, e, x in rows]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], ["sp_row", "k", "ids"])
+        K.give_back()
+
+    met = chunks.select("sp_row", "k", "n", "part").repartition(tasks, "sp_row", "k").join(states, ["sp_row", "k"]).select("sp_row", "k", "n", "part", "enter", "leave")
+    parts = met.mapInArrow(trace, "sp_row long, k int, ids binary").groupBy("sp_row").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("parts"))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([b"".join([x["ids"] for x in p]) for p in b.column(1).to_pylist()], pa.binary())], ["sp_row", "ids"])
 
-    traced = chunks.join(states, ["sp_row", "k"]).select("sp_row", "k", "n", "part", "enter", "leave").mapInArrow(trace, "sp_row long, k int, ids binary")
-    return traced.groupBy("sp_row").agg(F.sort_array(F.collect_list(F.struct("k", "ids"))).alias("parts")).select("sp_row", F.expr("aggregate(parts, cast('' as binary), (a, x) -> a || x.ids)").alias("ids"))
+    return parts.mapInArrow(join, "sp_row long, ids binary")
 
 
 def encode(docs: DataFrame, text: str = "text", out: str = "sp_ids", model: str = MODEL, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
@@ -376,45 +428,42 @@ def encode(docs: DataFrame, text: str = "text", out: str = "sp_ids", model: str
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    if out in docs.columns or "sp_row" in docs.columns:
-        raise ValueError(f"columns {out} or sp_row exist already; choose another name")
+    docs = frames.without(docs, out)
     raw = read_model(model)
     shared = spark.sparkContext.broadcast((raw, Vocabulary.load(raw).longest))
-    big = F.length(F.col(f"`{text}`")) >= giant
-    col, width = docs.columns.index(text), len(docs.columns)
+    big = F.length(frames.col(text)) >= giant
+    at = docs.columns.index(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         v = vocabulary(shared.value[0])
         for b in batches:
-            ids = v.encode_all(b.column(col).to_pylist())
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(width)], pa.array(ids, pa.binary())], [*b.schema.names, out])
+            yield [pa.array(v.encode_all(b.column(at).to_pylist()), pa.binary())]
         K.give_back()
 
-    ordinary = docs.where(~F.coalesce(big, F.lit(False))).mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"`{out}` binary"]))
+    ordinary = frames.mapped(docs.where(~F.coalesce(big, F.lit(False))), run, **{out: "binary"})
     scratch = Scratch(spark)
-    large = scratch.write(docs.where(big).withColumn("sp_row", F.monotonically_increasing_id()), "giant")
-    ids = _giants(large.select("sp_row", F.col(f"`{text}`").alias("text")), shared, chunk, scratch)
-    giants = large.join(ids.withColumnRenamed("ids", out), "sp_row").drop("sp_row")
-    return ordinary.unionByName(giants)
+    large = scratch.write(docs.where(big).select(F.monotonically_increasing_id().alias("sp_row"), F.struct(*[frames.col(c) for c in docs.columns]).alias("row")), "giant")
+    ids = _giants(large.select("sp_row", F.col("row").getField(text).alias("text")), shared, chunk, scratch)
+    giants = large.join(ids, "sp_row").select(*[F.col("row").getField(c).alias(c) for c in docs.columns], F.col("ids").alias(out))
+    return ordinary.unionAll(giants)
 
 
 def decode(encoded: DataFrame, ids: str = "sp_ids", out: str = "decoded", model: str = MODEL) -> DataFrame:
     """encoded with column ``out``: the text of the ids. A map over the rows."""
     spark = encoded.sparkSession
     bound_batches(spark)
-    if out in encoded.columns:
-        raise ValueError(f"column {out} exists already; choose another name")
+    encoded = frames.without(encoded, out)
     shared = spark.sparkContext.broadcast(read_model(model))
-    col, width = encoded.columns.index(ids), len(encoded.columns)
+    at = encoded.columns.index(ids)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         v = vocabulary(shared.value)
         for b in batches:
-            texts = [None if x is None else v.decode(x) for x in b.column(col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(width)], pa.array(texts, pa.string())], [*b.schema.names, out])
+            texts = [None if x is None else v.decode(x) for x in b.column(at).to_pylist()]
+            yield [pa.array(texts, pa.string())]
         K.give_back()
 
-    return encoded.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields] + [f"`{out}` string"]))
+    return frames.mapped(encoded, run, **{out: "string"})
 
 
 def token_report(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
