@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from viaflux.llm import decontaminate, language_id, near_copies, sentencepiece_scan, substring_dedup
+from viaflux.llm import decontaminate, language_id, sentencepiece_scan, simhash, substring_dedup
 from viaflux.llm.registry import held_out_remainder
 from viaflux.storage import Scratch
 
@@ -32,9 +32,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of texts with a Jaccard similarity of 0.8 in five-word shingles the first row stays."""
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())  # docs is a written table: the same at every reading
-    first = near_copies.first_rows(rows, key="__row").withColumnRenamed("id", "__row")
-    return rows.join(first, "__row", "left_semi").drop("__row")
+    # rows in a struct, so that no name can clash; written, so that row numbers are the same at every reading
+    rows = Scratch(spark).write(docs.select(F.monotonically_increasing_id().alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "rows")
+    first = simhash.similar_firsts(rows.select("id", F.col("row.text").alias("text")), key="id")
+    return rows.join(first, "id", "left_semi").select("row.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
