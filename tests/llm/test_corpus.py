@@ -29,52 +29,92 @@ def strings(rows):
 # --- 3
 
 
-def plain_katz(rows):
-    words, pairs, histories, texts = collections.Counter(), collections.Counter(), collections.Counter(), []
+def is_held_out(i):
+    return i is None or zlib.crc32(str(i).encode()) % 10 == 0
+
+
+def plain_discount(counter):
+    n = [0] + [sum(v == r for v in counter.values()) for r in range(1, 7)]
+    points = [(math.log(r), math.log(n[r])) for r in range(1, 7) if n[r]]
+    mx, my = (sum(p[i] for p in points) / max(len(points), 1) for i in (0, 1))
+    slope = sum((x - mx) * (y - my) for x, y in points) / sum((x - mx) ** 2 for x, _ in points) if len(points) > 1 else -2.0
+    slope = min(slope, -1.1)
+
+    def left(r):
+        turing = (r + 1) * n[r + 1] / n[r] if r <= 5 and n[r] else 0
+        return turing if 0 < turing < r else r * (1 + 1 / r) ** (slope + 1)
+
+    return left
+
+
+def plain_katz(rows, order):
+    """Recursive Katz over tuples of words."""
+    grams, texts = [collections.Counter() for _ in range(order + 1)], []
     for i, t in rows:
         w = (t or "").encode().translate(LOWER).split() + [None]
-        held = i is None or zlib.crc32(str(i).encode()) % 10 == 0
-        texts.append((i, held, w))
-        if not held:
-            for p, x in zip(["<s>", *w], w):
-                words[x] += 1
-                pairs[p, x] += 1
-                histories[p] += 1
+        texts.append((i, is_held_out(i), w))
+        if not is_held_out(i):
+            padded = ["<s>"] * (order - 1) + w
+            for k in range(1, order + 1):
+                grams[k].update(tuple(padded[x - k + 1 : x + 1]) for x in range(order - 1, len(padded)))
+    words, left = grams[1], [None] + [plain_discount(g) for g in grams[1:]]
     total, types = sum(words.values()), len(words)
-    of = lambda c: [sum(v == r for v in c.values()) for r in range(1, 7)]
-    dw, dn = katz.discounts(of(words), total), katz.discounts(of(pairs), 0)
-    less = lambda c, d: c - katz.FIXED if c > katz.TOP_COUNT else c * d[c]
-    unknown = 1 - sum(less(c, dw) for c in words.values()) / total if total else 1.0
-    uni = lambda x: (less(words[x], dw) / total if words[x] else unknown) if total else 1.0
     after = collections.defaultdict(list)
-    for (p, x), c in pairs.items():
-        after[p].append((x, c))
-    alpha = {p: (1 - sum(less(c, dn) for _, c in xs) / histories[p]) / (1 - sum(uni(x) for x, _ in xs)) for p, xs in after.items()}
-    for p, xs in after.items():  # the probabilities of a history sum to one
-        rest = unknown + sum(uni(x) for x in words if (p, x) not in pairs)
-        assert sum(less(c, dn) for _, c in xs) / histories[p] + alpha[p] * rest == pytest.approx(1)
+    for k in range(1, order + 1):
+        for g in grams[k]:
+            after[g[:-1]].append(g[-1])
+    past = {h: sum(grams[len(h) + 1][(*h, w)] for w in ws) for h, ws in after.items()}
+    memo = {}
+
+    def alpha(h):
+        if h not in memo:
+            k = len(h) + 1
+            kept = 1 - sum(left[k](grams[k][(*h, w)]) for w in after[h]) / past[h]
+            memo[h] = kept / (1 - sum(p(h[1:], w) for w in after[h]) if h else 1)
+        return memo[h]
+
+    def p(h, w):
+        c = grams[len(h) + 1].get((*h, w), 0)
+        if c:
+            return left[len(h) + 1](c) / past[h]
+        if not h:
+            return alpha(()) if total else 1.0
+        return (alpha(h) if h in past else 1.0) * p(h[1:], w)
+
+    for h in past:  # the probabilities of a history sum to one, unknown words being one more
+        assert sum(p(h, (w,)[0]) for (w,) in words) + p(h, "never seen") == pytest.approx(1)
     out = []
     for i, held, w in texts:
-        base = sum(math.log10((words[x] + 0.1) / (total + 0.1 * (types + 1))) for x in w)
-        score = 0.0
-        for p, x in zip(["<s>", *w], w):
-            c = pairs[p, x]
-            score += math.log10(less(c, dn) / histories[p] if c else alpha.get(p, 1.0) * uni(x))
-        out.append((i, held, len(w), sum(words[x] > 0 for x in w), total, base, score))
+        base = sum(math.log10((words[(x,)] + 0.1) / (total + 0.1 * (types + 1))) for x in w)
+        padded = ["<s>"] * (order - 1) + w
+        score = sum(math.log10(p(tuple(padded[x - order + 1 : x]), padded[x])) for x in range(order - 1, len(padded)))
+        out.append((i, held, len(w), sum(words[(x,)] > 0 for x in w), total, base, score))
     return out
 
 
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 @pytest.mark.parametrize("rows", [
-    [(1, "a b A\n c"), (2, None), (2, None), (10, ""), (None, "q a b"), (37, "zz yy\u00a0x")] + [(i, "a b c d " * (i % 5)) for i in range(40)],
+    [(1, "a b A\n c"), (2, None), (2, None), (10, ""), (None, "q a b"), (37, "zz yy\u00a0x")] + [(i, "a b c d " * (i % 5) + "e f " * (i % 3)) for i in range(40)],
     [(None, "a b"), (None, None)],
 ])
-def test_katz(spark, rows):
-    got = sorted(katz.scores(frame(spark, rows), chunk=200, buckets=5).collect(), key=lambda r: str(tuple(r)[:4]))
-    want = sorted(plain_katz(rows), key=lambda r: str(r[:4]))
+def test_katz(spark, rows, order):
+    got = sorted(katz.scores(frame(spark, rows), order=order, chunk=200, buckets=5).collect(), key=lambda r: str(tuple(r)[:4]))
+    want = sorted(plain_katz(rows, order), key=lambda r: str(r[:4]))
     for g, w in zip(got, want, strict=True):
         assert tuple(g)[:5] == w[:5] and g.base_score == pytest.approx(w[5]) and g.score == pytest.approx(w[6])
 
 
+def test_katz_ids_of_any_type_and_long_texts(spark):
+    """The id as text decides what is held out; a text over a block; production buckets."""
+    import decimal
+
+    rows = [(decimal.Decimal(i), f"a b c{i % 7} " * (60_000 if i == 3 else 3)) for i in range(30)]
+    got = {r.doc_id: r for r in katz.scores(spark.createDataFrame(rows, "doc_id decimal(10,2), text string")).collect()}
+    want = {i: w for i, *w in plain_katz([(f"{i}.00", t) for i, t in rows], 2)}
+    for i, _ in rows:
+        assert got[i].held_out == want[f"{i}.00"][0] and got[i].score == pytest.approx(want[f"{i}.00"][5])
+
+
 def test_katz_empty(spark):
     assert katz.scores(frame(spark, [])).count() == 0
 

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from tests.llm.test_corpus import frame, plain_substring, plain_suffix, strings
+from tests.llm.test_corpus import frame, is_held_out, plain_substring, plain_suffix, strings
 from viaflux.llm import host_quality, katz, substring_dedup, suffix_dedup
 from viaflux.llm import kernels as K
 
@@ -38,8 +38,8 @@ def test_colliding_words_are_other_windows(spark):
 
 
 def test_colliding_words_are_unknown(spark):
-    held = next(i for i in range(100) if katz.is_held_out(i))
-    rows = [(held, TWO), *[(i, ONE) for i in range(100, 120) if not katz.is_held_out(i)]]
+    held = next(i for i in range(100) if is_held_out(i))
+    rows = [(held, TWO), *[(i, ONE) for i in range(100, 120) if not is_held_out(i)]]
     assert {r.doc_id: r.n_known for r in katz.scores(frame(spark, rows)).collect()}[held] == 1
 
 

@@ -1,37 +1,45 @@
 """Language-model scoring with Katz backoff (operator 3).
 
-Bigram and unigram counts of the training documents are discounted by Good-Turing (counts
-above 5 give a fixed 0.1, so that every history keeps some mass); what a history gives up is
-shared among the words it was never seen with, in proportion to their unigram probability,
-so the probabilities of a history sum to one exactly; the unigrams give theirs to the class
-of unknown words. A text's score is the sum over its tokens of log10 P(token | token before),
-evaluated from the longest n-gram down.
+Counts of n-grams up to ``order`` words of the training documents are discounted by
+Good-Turing: a count r of 5 or less by Turing's estimate from the counts of counts where that
+lies between 0 and r, all others by Gale's straight line through the logarithms of the counts of
+counts. What a history gives up is shared among the words it was never seen with, in proportion
+to their probability after the history that is one word shorter, so the probabilities of a
+history sum to one exactly; the single words give theirs to the class of unknown words. A text's
+score is the sum over its tokens of log10 P(token | tokens before), evaluated from the longest
+n-gram down, history by history.
 
 How it runs: documents are cut into chunks of a few MB, held as local token numbers with the
 chunk's vocabulary. Each chunk sends its distinct n-grams once, hashed to 64 bits, to the
-buckets of the count tables (``ngrams`` and ``words``, partitioned by hash, so no history or
+buckets of the count tables (one for each length, partitioned by hash, so no history or
 word is one task's); a bucket adds them up and sends each chunk its counts back. One chunk of
 those that hold an n-gram is named its owner and adds it to its history's sums. Only backoffs
-of held-out texts then look up their history in the table of weights. What is shuffled grows
-in proportion to the text; nothing of it goes to the driver but 12 counts of counts.
+look up their history in the written table of weights, which Spark can split where a history
+is common. What is shuffled grows in proportion to the text: a chunk sends no more slices than
+it has n-grams; larger chunks make fewer slices where executors have the memory. Nothing of it
+goes to the driver but 9 numbers for each length.
+
+Words are hashed by their bytes through a bijection of eight bytes at a time, n-grams by mixing
+those; two n-grams with one hash would be counted as one (once in 2**64 pairs).
 
 Words are runs of anything but blank, tab, line feed, vertical tab, form feed and carriage
 return, with A-Z in lower case; a document ends with one end token. Defined cases: a null or
 empty text is an end token alone; rows with a null id are held out (their id has no checksum
 to train by); repeated rows are trained and scored as often as they occur; without training
 documents every token is unknown and has probability one; an empty table gives an empty
-result. Texts of any length are read whole.
+result; other columns are not read. Texts of any length are read whole.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.taskcontext import TaskContext
 
 from viaflux.llm import kernels as K
@@ -40,15 +48,18 @@ from viaflux.storage import Scratch, bound_batches
 HELD_OUT_MOD = 10
 #: Bytes of text in a chunk.
 CHUNK = 8 << 20
-#: Counts up to this are discounted by Good-Turing.
+#: Words of the longest n-gram.
+ORDER = 2
+#: Counts up to this are discounted by Turing's own estimate where it can be used.
 TOP_COUNT = 5
-FIXED = 0.1
+#: N-grams that one bucket of the count tables takes, of all chunks together.
+BUCKET_KEYS = 2_000_000
 U64 = np.uint64
 _END, _BEGIN = (np.frombuffer(x, "<u8")[0] for x in (b"\xff<end>\xff\xff", b"\xff<begin>"))
 
 
-def is_held_out(doc_id) -> bool:
-    return doc_id is None or zlib.crc32(str(doc_id).encode()) % HELD_OUT_MOD == 0
+def held_out(key: Column) -> Column:
+    return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(HELD_OUT_MOD)) == 0, F.lit(True))
 
 
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -95,62 +106,77 @@ def from_steps(raw: bytes, n: int) -> np.ndarray:
 
 # --- chunks
 
-CHUNKS = "chunk long, docs binary, held binary, lengths binary, vocab binary, tokens binary"
+CHUNK_COLUMNS = ("held", "lengths", "vocab", "tokens")
 
 
 def chunked(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """One row for each chunk: row numbers and flags of its documents, tokens in each, vocabulary hashes, the most frequent first, and the local numbers of all tokens."""
+    """One row for each chunk of docs(doc_id, held, text): ids and flags of its documents, tokens in each, vocabulary hashes, the most frequent first, and the local numbers of all tokens."""
     bound_batches(docs.sparkSession)
+    schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(docs.schema["doc_id"].dataType)), *[T.StructField(c, T.BinaryType()) for c in CHUNK_COLUMNS]])
 
-    def pack(texts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], n: int) -> pa.RecordBatch:
-        rows, held, lengths, hashes = (np.concatenate(x) for x in zip(*texts))
+    def pack(texts: list[tuple], n: int) -> pa.RecordBatch:
+        ids = pa.concat_arrays([x[0] for x in texts])
+        held, lengths, hashes = (np.concatenate(x) for x in list(zip(*texts))[1:])
         vocab, tokens, often = np.unique(hashes, return_inverse=True, return_counts=True)
         order = np.argsort(-often, kind="stable")  # frequent words get small numbers
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         number = (TaskContext.get().partitionId() << 32) + n
-        cols = [rows.astype("<i8").tobytes(), held.astype(np.uint8).tobytes(), lengths.astype("<i4").tobytes(), vocab[order].tobytes(), planes(rank[tokens])]
-        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *[pa.array([x], pa.binary()) for x in cols]], ["chunk", "docs", "held", "lengths", "vocab", "tokens"])
+        cols = [held.astype(np.uint8).tobytes(), lengths.astype("<i4").tobytes(), vocab[order].tobytes(), planes(rank[tokens])]
+        return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *[pa.array([x], pa.binary()) for x in cols]], ["chunk", "ids", *CHUNK_COLUMNS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_texts, size, n = [], 0, 0
+        texts, size, n = [], 0, 0
         for b in batches:
-            rows, flags = b.column(0).to_numpy(), np.fromiter((is_held_out(x) for x in b.column(1).to_pylist()), bool, b.num_rows)
+            flags = b.column(1).to_numpy(zero_copy_only=False)
             data, offs = K.views(b.column(2))
             for i, j in K.pieces(offs):
                 d, o = K.LOWER[data[offs[i] : offs[j]]], offs[i : j + 1] - offs[i]
                 starts, ends, first = K.word_spans(d, o, K.SPACES)
                 h = np.insert(K.span_hashes(d, starts, ends), first[1:], _END)
-                held_texts.append((rows[i:j], flags[i:j], np.diff(first) + 1, h))
+                texts.append((b.column(0).slice(i, j - i), flags[i:j], np.diff(first) + 1, h))
                 size += int(o[-1]) + 8 * (j - i)
                 if size >= chunk:
-                    yield pack(held_texts, n)
-                    held_texts, size, n = [], 0, n + 1
-        if held_texts:
-            yield pack(held_texts, n)
+                    yield pack(texts, n)
+                    texts, size, n = [], 0, n + 1
+        if texts:
+            yield pack(texts, n)
+        K.give_back()
 
-    return docs.mapInArrow(run, CHUNKS)
+    return docs.mapInArrow(run, schema)
 
 
 class Chunk:
-    """Arrays of a chunk's row: for every token its word, the word before, and whether it trains."""
+    """Arrays of a chunk's row: for every token, n-gram and history by length (1 first), and whether it trains."""
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, order: int):
         g = lambda c, t: np.frombuffer(row[c], t)
-        self.number, self.docs, self.held = row["chunk"], g("docs", "<i8"), g("held", np.uint8).astype(bool)
+        self.number, self.held = row["chunk"], g("held", np.uint8).astype(bool)
         self.lengths, stored = g("lengths", "<i4").astype(np.int64), g("vocab", "<u8")
-        order = np.argsort(stored)
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.vocab, self.tokens = stored[order], place[from_planes(row["tokens"])]
-        self.doc = np.repeat(np.arange(len(self.docs)), self.lengths)
+        sort = np.argsort(stored)
+        place = np.empty(len(sort), np.int64)
+        place[sort] = np.arange(len(sort))
+        vocab, tokens = stored[sort], place[from_planes(row["tokens"])]
+        self.doc = np.repeat(np.arange(len(self.held)), self.lengths)
         self.train = ~self.held[self.doc]
-        word = self.vocab[self.tokens]
-        before = np.empty_like(word)
-        before[1:] = word[:-1]
-        before[np.cumsum(self.lengths) - self.lengths] = _BEGIN
-        self.word, self.before = word, before
-        self.pairs, self.pair = np.unique(pair_hash(before, word), return_inverse=True)
+        self.first = np.cumsum(self.lengths) - self.lengths
+        self.keys, self.gram, self.history = [vocab], [tokens], [None]
+        word = vocab[tokens]
+        before, history = word, None
+        for _ in range(order - 1):
+            before = self.moved(before, _BEGIN)  # the word one place further back
+            history = before if history is None else pair_hash(before, history)
+            keys, gram = np.unique(pair_hash(history, word), return_inverse=True)
+            self.keys.append(keys)
+            self.gram.append(gram)
+            self.history.append(history)
+
+    def moved(self, values: np.ndarray, begin) -> np.ndarray:
+        """What each token's predecessor has; ``begin`` at the first of a document."""
+        out = np.empty_like(values)
+        out[1:] = values[:-1]
+        out[self.first] = begin
+        return out
 
     def counts(self, of: np.ndarray, n: int) -> np.ndarray:
         return np.bincount(of[self.train], minlength=n)
@@ -167,15 +193,16 @@ def _rows(b: pa.RecordBatch) -> Iterator[dict]:
 PARTS = "bucket int, kind int, chunk long, m int, keys binary, counts binary"
 
 
-def sent(chunks: DataFrame, buckets: int) -> DataFrame:
-    """Slices of each chunk's distinct words (kind 1) and bigrams (kind 2) by bucket, ascending, with training counts."""
+def sent(chunks: DataFrame, buckets: int, order: int) -> DataFrame:
+    """Slices of each chunk's distinct n-grams (kind: their length) by bucket, ascending, with training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = (np.arange(1, buckets, dtype=object) * ((1 << 64) // buckets)).astype(U64)
         for b in batches:
             for row in _rows(b):
-                c = Chunk(row)
-                for kind, keys, counts in ((1, c.vocab, c.counts(c.tokens, len(c.vocab))), (2, c.pairs, c.counts(c.pair, len(c.pairs)))):
+                c = Chunk(row, order)
+                for kind, (keys, gram) in enumerate(zip(c.keys, c.gram), 1):
+                    counts = c.counts(gram, len(keys))
                     cuts = np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
                     use = np.flatnonzero(np.diff(cuts))
                     yield pa.RecordBatch.from_arrays(
@@ -220,100 +247,105 @@ def counted(parts: DataFrame) -> DataFrame:
     return parts.groupBy("bucket", "kind").applyInArrow(_add, COUNTED)
 
 
-def discounts(counts_of_counts: list[int], total: int) -> np.ndarray:
-    """Factor for each count 0..TOP_COUNT (0 is unused); greater counts give FIXED.
+@dataclass(frozen=True)
+class Discount:
+    """Good-Turing: factors for counts up to TOP_COUNT (0 is unused), and the slope of the line for all others."""
 
-    Katz: (r*/r - A) / (1 - A) with r* = (r+1) n[r+1] / n[r] and A = (k+1) n[k+1] / n[1]. Where the
-    counts of counts allow no factor between 0 and 1, (r - 1/2) / r is taken.
-    """
-    n = [0, *counts_of_counts]
-    out = np.ones(TOP_COUNT + 1)
-    a = (TOP_COUNT + 1) * n[TOP_COUNT + 1] / n[1] if n[1] else 1.0
-    for r in range(1, TOP_COUNT + 1):
-        d = ((r + 1) * n[r + 1] / (r * n[r]) - a) / (1 - a) if n[r] and a < 1 else -1.0
-        out[r] = d if 0 < d < 1 else (r - 0.5) / r
-    return out
+    factors: np.ndarray
+    slope: float
 
+    @classmethod
+    def of(cls, counts_of_counts: list[int]) -> Discount:
+        n = np.array([0, *counts_of_counts], float)
+        r = np.flatnonzero(n)
+        # Gale's line log n[r] = a + slope log r; Turing's r* = (r+1) n[r+1] / n[r] is then r (1 + 1/r) ** (slope + 1), below r if the slope is below -1
+        x, y = np.log(r), np.log(n[r]) if len(r) else r
+        slope = float(((x - x.mean()) * (y - y.mean())).sum() / ((x - x.mean()) ** 2).sum()) if len(r) > 1 else -2.0
+        slope = min(slope, -1.1)
+        factors = np.ones(TOP_COUNT + 1)
+        for c in range(1, TOP_COUNT + 1):
+            turing = (c + 1) * n[c + 1] / (c * n[c]) if n[c] else 0.0
+            factors[c] = turing if 0 < turing < 1 else (1 + 1 / c) ** (slope + 1)
+        return cls(factors, slope)
 
-def discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Counts less what they give up."""
-    return np.where(c > TOP_COUNT, c - FIXED, c * d[np.minimum(c, TOP_COUNT)])
+    def left(self, c: np.ndarray) -> np.ndarray:
+        """Counts less what they give up; 0 for 0."""
+        many = np.maximum(c, 1).astype(float)
+        return np.where(c > TOP_COUNT, many * (1 + 1 / many) ** (self.slope + 1), c * self.factors[np.minimum(c, TOP_COUNT)])
 
 
 # --- probabilities
 
-#: One row for a document: score so far. One row for a backoff: its history and how often. One row for an owned history: what it has given.
-EVENTS = "kind int, row long, history long, n long, seen double, lower double, held boolean, n_tokens long, n_known long, base double, score double"
+#: One row for a document (row: its place in the chunk): score so far. One for a backoff: its document, history and how often. One for an owned history: what it has given.
+EVENTS = "kind int, chunk long, row int, history long, n long, seen double, lower double, held boolean, n_tokens long, n_known long, base double, score double"
 
 
-def evaluated(chunks: DataFrame, returned: DataFrame, words: dict, ngrams: dict, train_docs: int) -> DataFrame:
+def evaluated(chunks: DataFrame, returned: DataFrame, sums: list[dict], train_docs: int) -> DataFrame:
     """Documents, backoffs and history sums of every chunk, from the counts sent back."""
-    joined = chunks.join(returned, "chunk").select(*chunks.columns, "back")
-    dw, dn = discounts(words["n"], words["total"]), discounts(ngrams["n"], ngrams["total"])
-    total, types = words["total"], words["types"]
+    joined = chunks.drop("ids").join(returned, "chunk")
+    joined = joined.select("chunk", *CHUNK_COLUMNS, "back")
+    order, give = len(sums), [Discount.of(x["n"]) for x in sums]
+    total, types = sums[0]["total"], sums[0]["types"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in _rows(b):
-                c = Chunk(row)
-                got = {1: [], 2: []}
-                for x in sorted(row["back"], key=lambda x: x["bucket"]):
-                    got[x["kind"]].append(x)
-
-                def whole(kind: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-                    counts, owned = [], []
-                    for x in got[kind]:
-                        m = x["m"]
-                        counts.append(from_small(x["counts"], m))
-                        owned.append(np.unpackbits(np.frombuffer(x["owned"], np.uint8), count=m).astype(bool))
-                    out = np.concatenate(counts), np.concatenate(owned)
-                    assert len(out[0]) == n
-                    return out
-
-                uni, _ = whole(1, len(c.vocab))
-                big, owned = whole(2, len(c.pairs))
-                if total:
-                    p_uni = discounted(uni, dw) / total
-                    p_uni[uni == 0] = unknown_mass(words, dw)
-                else:
-                    p_uni = np.ones(len(uni))
-                known = uni[c.tokens]
-                # how often the word before was trained: as many times as it was followed
-                history = np.empty(len(c.tokens), np.int64)
-                history[1:] = known[:-1]
-                history[np.cumsum(c.lengths) - c.lengths] = train_docs
-                pair_count = big[c.pair]
-                seen = pair_count > 0
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    logp = np.where(seen, np.log10(discounted(pair_count, dn) / history), np.log10(p_uni[c.tokens]))
-                n = len(c.docs)
-                sums = lambda v: np.bincount(c.doc, v, n)
-                base = np.log10((known + 0.1) / (total + 0.1 * (types + 1)))
-                yield _events(0, n, row=c.docs, held=c.held, n_tokens=c.lengths, n_known=sums(known > 0).astype(np.int64), base=sums(base), score=sums(logp))
-                back = np.flatnonzero(~seen & (history > 0))
-                key, times = np.unique(np.stack((c.doc[back], c.before[back].view(np.int64))), axis=1, return_counts=True) if len(back) else (np.zeros((2, 0), np.int64), np.zeros(0, np.int64))
-                yield _events(1, len(times), row=c.docs[key[0]], history=key[1], n=times)
-                one = np.full(len(c.pairs), 0, np.int64)
-                one[c.pair[::-1]] = np.arange(len(c.pair))[::-1]  # a place of each bigram
-                at = one[owned]
-                if len(at):
-                    h, inv = np.unique(c.before[at], return_inverse=True)
-                    mine = big[owned]
-                    yield _events(2, len(h), history=h.view(np.int64), n=np.bincount(inv, mine, len(h)).astype(np.int64), seen=np.bincount(inv, discounted(mine, dn), len(h)), lower=np.bincount(inv, p_uni[c.tokens[at]], len(h)))
+                yield from _evaluate(row)
+        K.give_back()
+
+    def _evaluate(row: dict) -> Iterator[pa.RecordBatch]:
+        c = Chunk(row, order)
+        got: dict[int, list] = {k: [] for k in range(1, order + 1)}
+        for x in sorted(row["back"], key=lambda x: x["bucket"]):
+            got[x["kind"]].append(x)
+        counts, owned = [], []
+        for k in range(order):
+            counts.append(np.concatenate([from_small(x["counts"], x["m"]) for x in got[k + 1]]))
+            owned.append(np.concatenate([np.unpackbits(np.frombuffer(x["owned"], np.uint8), count=x["m"]).astype(bool) for x in got[k + 1]]))
+            assert len(counts[k]) == len(c.keys[k])
+        n = len(c.held)
+        sum_ = lambda v: np.bincount(c.doc, v, n)
+        known = counts[0][c.gram[0]]
+        # by length: count of the token's n-gram, of its history (as often as that was an n-gram itself), and P of the n-gram where it was seen
+        seen, past, p = [known], [np.full(len(known), total)], [give[0].left(known) / max(total, 1)]
+        for k in range(1, order):
+            seen.append(counts[k][c.gram[k]])
+            past.append(c.moved(seen[k - 1], train_docs))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                p.append(np.where(seen[k] > 0, give[k].left(seen[k]) / past[k], 0.0))
+        score, open_ = np.zeros(len(known)), np.ones(len(known), bool)
+        backs = []
+        for k in range(order - 1, -1, -1):  # from the longest n-gram down
+            here = open_ & (seen[k] > 0)
+            score[here] = np.log10(p[k][here])
+            open_ &= ~here
+            if k:
+                backs.append((k, np.flatnonzero(open_ & (past[k] > 0))))
+        base = np.log10((known + 0.1) / (total + 0.1 * (types + 1)))
+        yield _events(0, n, chunk=np.full(n, c.number), row=np.arange(n), n=sum_(open_).astype(np.int64), held=c.held, n_tokens=c.lengths, n_known=sum_(known > 0).astype(np.int64), base=sum_(base), score=sum_(score))
+        for k, at in backs:
+            if len(at):
+                key, times = np.unique(np.stack((c.doc[at], c.history[k][at].view(np.int64))), axis=1, return_counts=True)
+                yield _events(1, len(times), chunk=np.full(len(times), c.number), row=key[0], history=key[1], n=times)
+        for k in range(order):
+            place = np.zeros(len(c.keys[k]), np.int64)
+            place[c.gram[k][::-1]] = np.arange(len(c.gram[k]))[::-1]  # a place of each n-gram
+            at = place[owned[k]]
+            if len(at):
+                h, inv = np.unique(c.history[k][at], return_inverse=True) if k else (np.full(1, _ROOT), np.zeros(len(at), np.int64))
+                mine = counts[k][owned[k]]
+                lower = np.bincount(inv, p[k - 1][at], len(h)) if k else np.zeros(1)
+                yield _events(2, len(h), history=h.view(np.int64), n=np.bincount(inv, mine, len(h)).astype(np.int64), seen=np.bincount(inv, give[k].left(mine), len(h)), lower=lower)
 
     return joined.mapInArrow(run, EVENTS)
 
 
-def unknown_mass(words: dict, d: np.ndarray) -> float:
-    """What the trained words have given up: the probability of the class of all other words."""
-    n, total = [0, *words["n"]], words["total"]
-    low = range(1, TOP_COUNT + 1)
-    high_types = words["types"] - sum(n[r] for r in low)
-    return (sum(n[r] * r * (1 - d[r]) for r in low) + FIXED * high_types) / total
+#: The history of single words.
+_ROOT = np.frombuffer(b"\xff<root>\xff", "<u8")[0]
 
 
 def _events(kind: int, size: int, **cols) -> pa.RecordBatch:
-    types = {"kind": pa.int32(), "held": pa.bool_(), **{c: pa.float64() for c in ("seen", "lower", "base", "score")}}
+    types = {"kind": pa.int32(), "row": pa.int32(), "held": pa.bool_(), **{c: pa.float64() for c in ("seen", "lower", "base", "score")}}
     names = [x.split()[0] for x in EVENTS.split(", ")]
     out = []
     for c in names:
@@ -323,32 +355,38 @@ def _events(kind: int, size: int, **cols) -> pa.RecordBatch:
 
 
 def backoff_weights(events: DataFrame) -> DataFrame:
-    """(history, alpha): the mass left to a history over the unigram mass of the words it was never seen with."""
+    """(history, alpha): the mass left to a history over the mass that the words it was never seen with have after the shorter history."""
     h = events.where("kind = 2").groupBy("history").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"), F.sum("lower").alias("lower"))
     return h.select("history", ((1 - F.col("seen") / F.col("n")) / (1 - F.col("lower"))).alias("alpha"))
 
 
-def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", chunk: int = CHUNK, buckets: int | None = None) -> DataFrame:
+def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER, chunk: int = CHUNK, buckets: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
+    if order < 1:
+        raise ValueError("an n-gram has one word at least")
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    src = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    ids = scratch.write(src.select("row", "doc_id"), "ids")
+    src = docs.select(F.col(key).alias("doc_id"), held_out(F.col(key)).alias("held"), F.col(text).cast("string").alias("text"))
     chunks = scratch.write(chunked(src, chunk), "chunks")
-    stats = chunks.agg(F.count(F.lit(1)).alias("n")).first()
-    if buckets is None:  # slices of a bucket stay some MB at any size of the corpus
-        buckets = 1 << max(4, min(14, (2 * stats["n"]).bit_length() - 1))
-    counts = scratch.write(counted(sent(chunks, buckets)), "counts")
-    sums = {r["kind"]: r for r in counts.groupBy("kind").agg(*[F.sum(c).alias(c) for c in ("total", "types", *[f"n{r}" for r in range(1, TOP_COUNT + 2)])]).collect()}
-    table = lambda k: {"total": sums[k]["total"], "types": sums[k]["types"], "n": [sums[k][f"n{r}"] for r in range(1, TOP_COUNT + 2)]} if k in sums else {"total": 0, "types": 0, "n": [0] * (TOP_COUNT + 1)}
-    words, ngrams = table(1), table(2)
-    back = F.struct("kind", "bucket", "counts", "owned", "m")
-    returned = counts.groupBy("chunk").agg(F.collect_list(back).alias("back"))
-    train_docs = ids.where(~F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(HELD_OUT_MOD)) == 0, F.lit(True))).count()
-    events = scratch.write(evaluated(chunks, returned, words, ngrams, train_docs), "events")
+    if buckets is None:  # a bucket stays some MB at any size of the corpus
+        slots = chunks.agg(F.sum(F.octet_length("tokens") / 4)).first()[0] or 0
+        buckets = max(16, -(-int(slots) // BUCKET_KEYS))
+    counts = scratch.write(counted(sent(chunks, buckets, order)), "counts")
+    found = {r["kind"]: r for r in counts.groupBy("kind").agg(*[F.sum(c).alias(c) for c in ("total", "types", *[f"n{r}" for r in range(1, TOP_COUNT + 2)])]).collect()}
+    none = dict.fromkeys(("total", "types", *[f"n{r}" for r in range(1, TOP_COUNT + 2)]), 0)
+    sums = [{"total": x["total"], "types": x["types"], "n": [x[f"n{r}"] for r in range(1, TOP_COUNT + 2)]} for x in (found.get(k, none) for k in range(1, order + 1))]
+    returned = counts.groupBy("chunk").agg(F.collect_list(F.struct("kind", "bucket", "counts", "owned", "m")).alias("back"))
+    trains = F.octet_length(F.expr("replace(hex(held), '01', '')")) / 2  # one byte for each document: 01 if held out, else 00
+    train_docs = int(chunks.agg(F.sum(trains)).first()[0] or 0)
+    events = scratch.write(evaluated(chunks, returned, sums, train_docs), "events")
+    ids = scratch.write(chunks.select("chunk", F.posexplode("ids").alias("row", "doc_id")), "ids")
     scratch.drop(chunks, counts)
-    lost = events.where("kind = 1").join(backoff_weights(events), "history").groupBy("row").agg(F.sum(F.col("n") * F.log10("alpha")).alias("backoff"))
-    per_doc = events.where("kind = 0").join(lost, "row", "left")
-    return ids.join(per_doc, "row").select(
-        "doc_id", F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(words["total"]).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("score") + F.coalesce("backoff", F.lit(0.0))).alias("score"),
+    weights = scratch.write(backoff_weights(events), "weights")
+    root = weights.where(F.col("history") == int(np.array(_ROOT).view(np.int64))).first()
+    unknown = float(np.log10(root["alpha"])) if root else 0.0
+    lost = events.where("kind = 1").select("chunk", "row", "history", "n").join(weights, "history").groupBy("chunk", "row").agg(F.sum(F.col("n") * F.log10("alpha")).alias("backoff"))
+    per_doc = events.where("kind = 0").join(lost, ["chunk", "row"], "left")
+    return ids.join(per_doc, ["chunk", "row"]).select(
+        "doc_id", F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(sums[0]["total"]).cast("long").alias("train_tokens"), F.col("base").alias("base_score"),
+        (F.col("score") + F.col("n") * F.lit(unknown) + F.coalesce("backoff", F.lit(0.0))).alias("score"),
     )
