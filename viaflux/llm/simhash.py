@@ -260,12 +260,23 @@ def wide_signatures(rows: DataFrame, segments: range) -> DataFrame:
     return v.select(F.col("tag").bitwiseOR(F.shiftleft("j", BITS)).bitwiseOR(rest).alias("sig"), "id")
 
 
-def _close(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose fingerprints are not far apart, or whose texts are too short to tell."""
-    side = lambda c, x: rows.select(F.col("id").alias(c), F.col("fp").alias(f"{x}_fp"), F.col("n").alias(f"{x}_n"))
-    apart = sum((F.bit_count(F.col("x_fp")[i].bitwiseXOR(F.col("y_fp")[i])) for i in range(SEGMENTS // 2)), F.lit(0))
-    near = (apart <= int(FAR * SEGMENTS * BITS)) | (F.least("x_n", "y_n") < LONG_ENOUGH)
-    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(near).select("a", "b")
+def _near(x: str, y: str) -> Column:
+    """Whether the fingerprints of two rows are not far apart, or their texts are too short to tell."""
+    apart = sum((F.bit_count(F.col(f"{x}.fp")[i].bitwiseXOR(F.col(f"{y}.fp")[i])) for i in range(SEGMENTS // 2)), F.lit(0))
+    return (apart <= int(FAR * SEGMENTS * BITS)) | (F.least(f"{x}.n", f"{y}.n") < LONG_ENOUGH)
+
+
+def _close(pairs: DataFrame, about: DataFrame) -> DataFrame:
+    """The near ones of pairs (a, b)."""
+    x, y = about.select("id", "n", "fp").alias("x"), about.select("id", "n", "fp").alias("y")
+    return pairs.join(x, F.col("a") == F.col("x.id")).join(y, (F.col("b") == F.col("y.id")) & _near("x", "y")).select("a", "b")
+
+
+def _possible(n: Column, s: Column, m: Column, t: Column) -> Column:
+    """Whether sets of n and m shingles, of which s and t occur in any other text at all, can be similar enough."""
+    over, under = SIMILARITY
+    both = F.least(s, t)
+    return both * under >= (n + m - both) * over
 
 
 def similar_firsts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -274,10 +285,11 @@ def similar_firsts(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     Words as for fingerprints; a text of less than five words is one shingle; null, empty and blank
     texts are copies of each other; equal word sequences cost one row.
 
-    Members of a signature are first compared with one of them, then, as long as a signature holds
-    members of several components, with another one chosen by a hash, and all that is left is compared
-    as soon as that is no more than the members themselves. So a large group of near copies needs no
-    pairs, and no pair that could link two components is left out.
+    Of a text that shares a signature, the shingles that no other such text has are counted: they
+    bound its similarity to any other, and most texts that are like others but not like enough end there.
+    The members of a signature are compared with the one of them that has the fewest such shingles; then
+    those of different components that the bound allows are compared with each other. So a large
+    group of near copies needs no pairs, and no pair that could link two components is left out.
     """
     scratch = Scratch(docs.sparkSession)
     signed = scratch.write(wide_rows(docs, key, text), "wide")
@@ -288,38 +300,34 @@ def similar_firsts(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     parts = []
     for half in (range(SEGMENTS // 2), range(SEGMENTS // 2, SEGMENTS)):  # two passes hold half of the shuffle at a time
         sigs = wide_signatures(spread, half)
-        keys = scratch.write(sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "keys")
-        parts.append(scratch.write(sigs.join(keys, "sig").select("sig", "id", "c"), "shared"))
+        keys = scratch.write(sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("sig"), "keys")
+        parts.append(scratch.write(sigs.join(keys, "sig").select("sig", "id"), "shared"))
         scratch.drop(keys)
     shared = parts[0].unionByName(parts[1])
-    sets = scratch.write(shingle_sets(docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(scratch.write(shared.select("id").distinct(), "members"), "id", "left_semi")), "sets")
-
-    least = scratch.write(shared.groupBy("sig").agg(F.min("id").alias("a")), "least")
-    tried = scratch.write(shared.join(least, "sig").where("id > a").select("a", F.col("id").alias("b")).distinct(), "tried")
-    links = scratch.write(verified(_close(tried, rows), sets), "links")
-    several, round_ = shared.where("c > 2").select("sig", "id"), 0
-    members = several.count()
-    while True:
+    members = scratch.write(shared.select("id").distinct(), "members")
+    sets = scratch.write(shingle_sets(docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(members, "id", "left_semi")), "sets")
+    own = sets.select("id", F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where("c = 1")
+    own = scratch.write(own.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("q")), "own")
+    about = rows.select("id", "n", "fp").join(members, "id", "left_semi").join(own, "id", "left").withColumn("s", F.col("n") - F.coalesce("q", F.lit(0)))
+    about = scratch.write(about.where(_possible(F.col("n"), F.col("s"), F.col("s"), F.col("s"))).select("id", "n", "s", "fp"), "about")
+    alive = scratch.write(shared.join(about.select("id", "n", "s"), "id").select("sig", "id", "n", "s"), "alive")
+    scratch.drop(*parts, own)
+
+    pivot = F.min(F.struct((F.col("n") - F.col("s")) / F.col("n"), F.col("id").alias("a"), F.col("n").alias("m"), F.col("s").alias("t")))
+    pivots = scratch.write(alive.groupBy("sig").agg(pivot.alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1").select("sig", "p.a", "p.m", "p.t"), "pivots")
+    pairs = alive.join(pivots, "sig").where((F.col("id") != F.col("a")) & _possible(F.col("n"), F.col("s"), F.col("m"), F.col("t")))
+    tried = scratch.write(pairs.select(F.least("id", "a").alias("a"), F.greatest("id", "a").alias("b")).distinct(), "tried")
+    links = scratch.write(verified(_close(tried, about), sets), "links")
+    labels = connected_components(links, scratch)
+    named = scratch.write(alive.join(labels, alive["id"] == labels["node"], "left").select("sig", "id", "n", "s", F.coalesce("label", "id").alias("label")), "named")
+    mixed = scratch.write(named.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo < hi AND c > 2").select("sig"), "mixed")
+    apart = scratch.write(named.join(mixed, "sig").join(about.select("id", "fp"), "id").select("sig", "id", "n", "s", "label", "fp"), "apart")
+    scratch.drop(alive, named)
+    x, y = apart.alias("x"), apart.alias("y")
+    wanted = (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label")) & _possible(F.col("x.n"), F.col("x.s"), F.col("y.n"), F.col("y.s")) & _near("x", "y")
+    more = x.join(y, (F.col("x.sig") == F.col("y.sig")) & wanted).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    fresh = scratch.write(more.distinct().join(tried, ["a", "b"], "left_anti"), "fresh")
+    if not fresh.isEmpty():
+        links = scratch.write(links.unionByName(verified(fresh, sets)), "links")
         labels = connected_components(links, scratch)
-        named = scratch.write(several.join(labels, several["id"] == labels["node"], "left").select("sig", "id", F.coalesce("label", "id").alias("label")), "named")
-        counts = named.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("sig").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("nn"), F.count(F.lit(1)).alias("groups"))
-        mixed = scratch.write(counts.where("groups > 1").select("sig", "n", ((F.col("n") * F.col("n") - F.col("nn")) / 2).alias("pairs")), "mixed")
-        left = mixed.agg(F.sum("pairs")).first()[0] or 0
-        if not left:
-            break
-        several = scratch.write(named.join(mixed.select("sig"), "sig").select("sig", "id", "label"), "several")
-        last = left <= max(members, 1000)
-        if last:
-            x, y = several.alias("x"), several.alias("y")
-            more = x.join(y, F.col("x.sig") == F.col("y.sig")).where("x.id < y.id AND x.label <> y.label").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        else:
-            pivots = scratch.write(several.groupBy("sig").agg(F.min_by(F.struct("id", "label"), F.xxhash64("id", F.lit(round_))).alias("p")), "pivots")
-            more = several.join(pivots, "sig").where("label <> p.label").select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
-        fresh = scratch.write(more.distinct().join(tried, ["a", "b"], "left_anti"), "fresh")
-        tried = tried.unionByName(fresh)
-        links = scratch.write(links.unionByName(verified(_close(fresh, rows), sets)), "links")
-        several, round_ = several.select("sig", "id"), round_ + 1
-        if last:
-            labels = connected_components(links, scratch)
-            break
     return rows.select("id").join(labels.where("node <> label").select(F.col("node").alias("id")), "id", "left_anti")
