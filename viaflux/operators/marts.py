@@ -178,7 +178,7 @@ def segment_detail(mart: DataFrame, sre: str) -> DataFrame:
 
 def cumulative_frames(frames: DataFrame) -> DataFrame:
     """(iteration, new_count, total_new): running sum over at most some hundred steps."""
-    n = frames.select("iteration", F.size("new_edges").cast("long").alias("new_count"))
+    n = frames.select("iteration", "new_count")
     return n.withColumn("total_new", F.sum("new_count").over(Window.orderBy("iteration").rowsBetween(Window.unboundedPreceding, 0)))
 
 

@@ -18,18 +18,28 @@ def regional_features(segments: DataFrame) -> DataFrame:
     })
 
 
+#: Known places that are weighed together.
+KNOWN_BLOCK = 4096
+
+
 def idw(targets: DataFrame, known: DataFrame, power: float = 2.0) -> DataFrame:
     """(id, idw): mean of all known volumes weighted by inverse distance in km; null for a target without a place.
 
-    Known points at one place are one row with their sum, and targets at one place are one row,
-    so what grows is distinct target places times distinct known places. Known points without a
-    place or volume do not count.
+    The distinct target places are the queries, the known places stand in blocks: a target meets a
+    block as one row and takes its sums from it, so rows grow with targets times blocks. Known points at
+    one place are one with their sum; those without a place or volume do not count.
     """
-    k = known.where("lat is not null and lon is not null and vmd is not null").groupBy(F.col("lat").alias("klat"), F.col("lon").alias("klon")).agg(F.sum("vmd").alias("total"), F.count("vmd").alias("n"))
+    k = known.where("lat is not null and lon is not null and vmd is not null").groupBy("lat", "lon").agg(F.sum("vmd").alias("total"), F.count("vmd").alias("n"))
+    blocks = max(1, -(-k.count() // KNOWN_BLOCK))
+    rows = k.groupBy(F.pmod(F.xxhash64("lat", "lon"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct(F.col("lat").alias("klat"), F.col("lon").alias("klon"), "total", "n")).alias("ks"))
     places = targets.where("lat is not null and lon is not null").select("lat", "lon").distinct()
-    d = F.greatest(S.haversine_km(F.col("lat"), F.col("lon"), F.col("klat"), F.col("klon")), S.num(0.001))
-    w = F.pow(d, S.num(-power))
-    means = places.crossJoin(k).groupBy("lat", "lon").agg((F.sum(w * F.col("total")) / F.sum(w * F.col("n"))).alias("idw"))
+
+    def weight(x):
+        return F.pow(F.greatest(S.haversine_km(F.col("lat"), F.col("lon"), x["klat"], x["klon"]), S.num(0.001)), S.num(-power))
+
+    total = lambda c: F.aggregate("ks", S.num(0), lambda a, x: a + weight(x) * x[c])
+    met = places.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(rows, "block").select("lat", "lon", total("total").alias("up"), total("n").alias("down"))
+    means = met.groupBy("lat", "lon").agg((F.sum("up") / F.sum("down")).alias("idw"))
     return targets.join(means, ["lat", "lon"], "left").select("id", "idw")
 
 

@@ -73,40 +73,28 @@ def coverage(edges: DataFrame) -> DataFrame:
 
 
 def propagate(edges: DataFrame, p: Params, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(edges, frames) after all passes; frames(iteration, coverage, edges_known, new_edges: map of key to volume).
+    """(edges, frames) after all passes; frames(iteration, coverage, edges_known, new_count: distinct keys that got a volume).
 
     One row of counts comes to the driver for each step.
     """
-    spark = edges.sparkSession
     start = coverage(edges).first()
-    steps: list[DataFrame] = []
     known, total = start["edges_known"], max(start["edges"], 1)
-    rows = [(0, known / total, known)]
+    rows = [(0, known / total, known, 0)]
     for ratio in p.known_ratios:
         for _ in range(p.propagation_steps):
             state = scratch.write(propagate_step(edges, ratio), "flow")
-            new = state.agg(F.count("new_volume")).first()[0]
-            if not new:
+            new = state.where(F.col("new_volume").isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("keys")).first()
+            if not new["n"]:
                 scratch.drop(state)
                 break
-            known += new
-            steps.append(scratch.write(state.where(F.col("new_volume").isNotNull()).select(F.lit(len(rows)).alias("iteration"), F.col("key"), F.bround("new_volume", 1).alias("volume")), "new"))
-            rows.append((len(rows), round(known / total, 4), known))
+            known += new["n"]
+            rows.append((len(rows), round(known / total, 4), known, new["keys"]))
             if hasattr(edges, "scratch_path"):
                 scratch.drop(edges)
             keep = state.drop("new_volume")
             keep.scratch_path = state.scratch_path
             edges = keep
-    frames = spark.createDataFrame(rows, "iteration int, coverage double, edges_known long")
-    if steps:
-        new = steps[0]
-        for s in steps[1:]:
-            new = new.unionByName(s)
-        maps = new.groupBy("iteration").agg(F.map_from_entries(F.collect_list(F.struct("key", "volume"))).alias("new_edges"))
-        frames = frames.join(maps, "iteration", "left")
-    else:
-        frames = frames.withColumn("new_edges", F.lit(None).cast("map<string,double>"))
-    return edges, frames.withColumn("new_edges", F.coalesce("new_edges", F.create_map().cast("map<string,double>")))
+    return edges, edges.sparkSession.createDataFrame(rows, "iteration int, coverage double, edges_known long, new_count long")
 
 
 def _neighbours(edges: DataFrame) -> DataFrame:

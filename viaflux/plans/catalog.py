@@ -175,7 +175,7 @@ def contracted_edges(s: SparkSession, v: Views) -> DataFrame:
 
 query("node_degree", "SELECT node_id, count(*) AS degree FROM (SELECT src AS node_id FROM fx_edges UNION ALL SELECT dst FROM fx_edges) q GROUP BY node_id")(lambda s, v: N.node_degree(v["fx_edges"]))
 query("components", "WITH RECURSIVE link(m, n) AS (SELECT src, dst FROM fx_edges UNION SELECT dst, src FROM fx_edges), reach(a, b) AS (SELECT m, m FROM link UNION SELECT a, n FROM reach JOIN link ON b = m) SELECT a AS node_id, min(b) AS component FROM reach GROUP BY a")(lambda s, v: N.components(v["fx_edges"], Scratch(s)))
-query("component_summary")(lambda s, v: N.component_summary(N.components(v["fx_edges"], Scratch(s))))
+query("component_summary", "WITH RECURSIVE link(m, n) AS (SELECT src, dst FROM fx_edges UNION SELECT dst, src FROM fx_edges), reach(a, b) AS (SELECT m, m FROM link UNION SELECT a, n FROM reach JOIN link ON b = m), comp AS (SELECT a, min(b) AS c FROM reach GROUP BY a), sizes AS (SELECT c, count(*) AS n FROM comp GROUP BY c) SELECT count(*) AS components, CAST(sum(n) AS BIGINT) AS nodes, max(n) AS largest, 100 * CAST(max(n) AS DOUBLE) / greatest(sum(n), 1) AS largest_pct FROM sizes")(lambda s, v: N.component_summary(N.components(v["fx_edges"], Scratch(s))))
 query("connected_nodes", "SELECT node_id FROM fx_nodes WHERE node_id IN (SELECT src FROM fx_edges WHERE direction = 'CONN' UNION SELECT dst FROM fx_edges WHERE direction = 'CONN')")(lambda s, v: N.without_isolated(v["fx_nodes"], v["fx_edges"].where(F.col("direction") == N.CONNECTOR)).select("node_id"))
 
 # --- propagation
@@ -206,7 +206,7 @@ def propagated(s: SparkSession, v: Views) -> tuple[DataFrame, DataFrame]:
 
 
 query("propagate_full")(lambda s, v: rounded(propagated(s, v)[0].select("edge_seq", "volume")))
-query("coverage_frames")(lambda s, v: propagated(s, v)[1].select("iteration", "coverage", "edges_known", F.size("new_edges").alias("new_count"), M.frame_phase(F.col("coverage")).alias("phase")))
+query("coverage_frames")(lambda s, v: propagated(s, v)[1].select("iteration", "coverage", "edges_known", "new_count", M.frame_phase(F.col("coverage")).alias("phase")))
 query("frames_running")(lambda s, v: M.cumulative_frames(propagated(s, v)[1]))
 query("neighbor_fill")(lambda s, v: rounded(P.neighbor_fill(v["fx_edges"], DEFAULTS, Scratch(s)).select("edge_seq", "volume")))
 
@@ -215,40 +215,30 @@ query("neighbor_fill")(lambda s, v: rounded(P.neighbor_fill(v["fx_edges"], DEFAU
 _ZONES = """deg AS (SELECT node_id, count(*) AS degree FROM (SELECT src AS node_id FROM fx_edges UNION ALL SELECT dst FROM fx_edges) q GROUP BY node_id),
 sc AS (SELECT src AS node_id, bool_or(coalesce(is_urban, false)) AS is_urban, bool_or(coalesce(is_federal, false)) AS is_federal, sum(capacity) AS total_capacity, bool_or(fixed) AS has_observed, coalesce(sum(volume), 0) AS total_volume, avg(CASE WHEN fixed AND direction <> 'CONN' THEN volume END) AS observed_mean FROM fx_edges GROUP BY src),
 zs AS (SELECT sc.*, degree, lat, lon, degree * 10 + total_capacity / 1000 + CASE WHEN is_urban THEN 50 ELSE 0 END + CASE WHEN is_federal THEN 30 ELSE 0 END + CASE WHEN has_observed THEN 40 ELSE 0 END + total_volume / 1000 AS score FROM sc JOIN deg USING (node_id) JOIN fx_nodes USING (node_id)),
-z AS (SELECT * FROM zs ORDER BY score DESC, node_id LIMIT 60),
+z AS (SELECT * FROM zs ORDER BY score DESC, node_id LIMIT 100),
 tr AS (SELECT node_id, lat, lon, coalesce(observed_mean, total_capacity * CAST(0.3 AS DOUBLE) * CASE WHEN is_urban THEN 2 ELSE 1 END * CASE WHEN is_federal THEN CAST(1.5 AS DOUBLE) ELSE 1 END) AS p FROM z),
 hv AS (SELECT o.node_id AS origin, d.node_id AS dest, o.p AS production, d.p AS attraction, pow(sin(radians(d.lat - o.lat) / 2), 2) + cos(radians(o.lat)) * cos(radians(d.lat)) * pow(sin(radians(d.lon - o.lon) / 2), 2) AS h FROM tr o, tr d WHERE o.node_id <> d.node_id),
 im AS (SELECT *, greatest(6371.0 * 2 * atan2(sqrt(h), sqrt(1 - h)), 1) AS cost FROM hv),
 od AS (SELECT origin, dest, production * attraction * pow(cost, CAST(-1.5 AS DOUBLE)) / sum(attraction * pow(cost, CAST(-1.5 AS DOUBLE))) OVER (PARTITION BY origin) AS flow FROM im WHERE cost <= 300)"""
-SMALL = Params(max_zones=60)
 
 
-def trips(v: Views, p: Params = SMALL) -> DataFrame:
+def trips(v: Views, p: Params = DEFAULTS) -> DataFrame:
     return GR.trip_generation(GR.zones(GR.zone_scores(v["fx_nodes"], v["fx_edges"]), p.max_zones), p)
 
 
-def demand(v: Views, p: Params = SMALL) -> DataFrame:
+def demand(v: Views, p: Params = DEFAULTS) -> DataFrame:
     return GR.gravity(GR.impedance(trips(v, p), p))
 
 
-query("zone_scores", f"WITH {_ZONES} SELECT node_id, degree, is_urban, is_federal, has_observed, round(total_capacity, 4) AS total_capacity, round(score, 4) AS score FROM z")(lambda s, v: rounded(GR.zones(GR.zone_scores(v["fx_nodes"], v["fx_edges"]), 60).select("node_id", "degree", "is_urban", "is_federal", "has_observed", "total_capacity", "score")))
+query("zone_scores", f"WITH {_ZONES} SELECT node_id, degree, is_urban, is_federal, has_observed, round(total_capacity, 4) AS total_capacity, round(score, 4) AS score FROM z")(lambda s, v: rounded(GR.zones(GR.zone_scores(v["fx_nodes"], v["fx_edges"]), DEFAULTS.max_zones).select("node_id", "degree", "is_urban", "is_federal", "has_observed", "total_capacity", "score")))
 query("trip_generation", f"WITH {_ZONES} SELECT node_id, round(p, 4) AS production, round(p, 4) AS attraction FROM tr")(lambda s, v: rounded(trips(v).select("node_id", "production", "attraction")))
-query("gravity_impedance", f"WITH {_ZONES} SELECT origin, dest, round(cost, 4) AS cost, round(pow(cost, CAST(-1.5 AS DOUBLE)), 8) AS f FROM im WHERE cost <= 300")(lambda s, v: GR.impedance(trips(v), SMALL).select("origin", "dest", r("cost").alias("cost"), r("f", 8).alias("f")))
+query("gravity_impedance", f"WITH {_ZONES} SELECT origin, dest, round(cost, 4) AS cost, round(pow(cost, CAST(-1.5 AS DOUBLE)), 8) AS f FROM im WHERE cost <= 300")(lambda s, v: GR.impedance(trips(v), DEFAULTS).select("origin", "dest", r("cost").alias("cost"), r("f", 8).alias("f")))
 query("gravity_od", f"WITH {_ZONES} SELECT origin, dest, round(flow, 4) AS flow FROM od")(lambda s, v: rounded(demand(v)))
 query("od_significant", f"WITH {_ZONES} SELECT count(*) AS n, round(sum(round(flow, 4)), 1) AS total FROM od WHERE flow > (SELECT quantile_cont(flow, 0.1) FROM od WHERE flow > 0)")(lambda s, v: GR.significant(demand(v)).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(r("flow")), 1).alias("total")))
 query("desire_lines_top", f"WITH {_ZONES} SELECT origin, dest, round(flow, 4) AS flow, round(a.lat, 6) AS origin_lat, round(b.lon, 6) AS dest_lon FROM (SELECT origin, dest, flow FROM od ORDER BY flow DESC, origin, dest LIMIT 200) t JOIN fx_nodes a ON a.node_id = origin JOIN fx_nodes b ON b.node_id = dest")(
     lambda s, v: GR.desire_lines(demand(v), v["fx_nodes"]).select("origin", "dest", r("flow").alias("flow"), r("origin_lat", 6).alias("origin_lat"), r("dest_lon", 6).alias("dest_lon"))
 )
-query("zone_types", f"WITH {_ZONES} SELECT CASE WHEN is_urban THEN 'urban' WHEN is_federal THEN 'federal' ELSE 'other' END AS kind, count(*) AS n FROM z GROUP BY 1")(lambda s, v: M.zone_types(GR.zones(GR.zone_scores(v["fx_nodes"], v["fx_edges"]), 60)))
-
-# the queries above are bound to the 60 zones of their SQL; these serve all zones of the production parameters
-query("zone_scores_all")(lambda s, v: rounded(GR.zones(GR.zone_scores(v["fx_nodes"], v["fx_edges"]), DEFAULTS.max_zones).select("node_id", "degree", "is_urban", "is_federal", "has_observed", "total_capacity", "score")))
-query("trip_generation_all")(lambda s, v: rounded(trips(v, DEFAULTS).select("node_id", "production", "attraction")))
-query("gravity_impedance_all")(lambda s, v: GR.impedance(trips(v, DEFAULTS), DEFAULTS).select("origin", "dest", r("cost").alias("cost"), r("f", 8).alias("f")))
-query("gravity_od_all")(lambda s, v: rounded(demand(v, DEFAULTS)))
-query("od_significant_all")(lambda s, v: GR.significant(demand(v, DEFAULTS), DEFAULTS.flow_percentile).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(r("flow")), 1).alias("total")))
-query("desire_lines_top_all")(lambda s, v: GR.desire_lines(demand(v, DEFAULTS), v["fx_nodes"]).select("origin", "dest", r("flow").alias("flow"), r("origin_lat", 6).alias("origin_lat"), r("dest_lon", 6).alias("dest_lon")))
-query("zone_types_all")(lambda s, v: M.zone_types(GR.zones(GR.zone_scores(v["fx_nodes"], v["fx_edges"]), DEFAULTS.max_zones)))
+query("zone_types", f"WITH {_ZONES} SELECT CASE WHEN is_urban THEN 'urban' WHEN is_federal THEN 'federal' ELSE 'other' END AS kind, count(*) AS n FROM z GROUP BY 1")(lambda s, v: M.zone_types(GR.zones(GR.zone_scores(v["fx_nodes"], v["fx_edges"]), DEFAULTS.max_zones)))
 
 # --- assignment
 
@@ -271,10 +261,8 @@ def paths(s: SparkSession, v: Views, origins: int, limit: int) -> DataFrame:
     return A.shortest_paths(simple(v), o, Scratch(s), limit).select("origin", "node", r("cost", 6).alias("cost"))
 
 
-query("shortest_paths", _paths(20))(lambda s, v: paths(s, v, 20, A.BROADCAST_EDGES))
-query("shortest_paths_relaxed", _paths(1))(lambda s, v: paths(s, v, 1, 0))
-query("shortest_paths_all")(lambda s, v: paths(s, v, DEFAULTS.max_zones, A.BROADCAST_EDGES))
-query("shortest_paths_relaxed_all")(lambda s, v: paths(s, v, DEFAULTS.max_zones, 0))
+query("shortest_paths", _paths(DEFAULTS.max_zones))(lambda s, v: paths(s, v, DEFAULTS.max_zones, A.BROADCAST_EDGES))
+query("shortest_paths_relaxed", _paths(DEFAULTS.max_zones))(lambda s, v: paths(s, v, DEFAULTS.max_zones, 0))
 query("aon_flows")(lambda s, v: rounded(A.all_or_nothing(simple(v), demand(v, DEFAULTS), Scratch(s))))
 
 
@@ -377,7 +365,8 @@ def _known(v: Views) -> DataFrame:
     return v["fx_segments"].join(v["fx_mart"].select("seg_idx", "vmd", "vmd_source"), "seg_idx").select("vmd_source", F.col("seg_idx").alias("id"), F.col("lat_inicial").alias("lat"), F.col("lon_inicial").alias("lon"), F.coalesce("vmd", S.num(0)).alias("vmd"), "extensao", "km_inicial")
 
 
-query("idw_estimates")(lambda s, v: rounded(MO.idw(_rest(v), _observed(v))))
+_PLACES = "SELECT s.seg_idx AS id, lat_inicial AS lat, lon_inicial AS lon, coalesce(m.vmd, 0) AS vmd, m.vmd_source AS source FROM fx_segments s JOIN fx_mart m USING (seg_idx)"
+query("idw_estimates", f"WITH p AS ({_PLACES}), h AS (SELECT t.id, k.vmd, pow(sin(radians(k.lat - t.lat) / 2), 2) + cos(radians(t.lat)) * cos(radians(k.lat)) * pow(sin(radians(k.lon - t.lon) / 2), 2) AS h FROM p t, p k WHERE t.source <> 'observed' AND k.source = 'observed'), w AS (SELECT id, vmd, pow(greatest(6371.0 * 2 * atan2(sqrt(h), sqrt(1 - h)), 0.001), -2) AS w FROM h) SELECT id, round(sum(w * vmd) / sum(w), 4) AS idw FROM w GROUP BY id")(lambda s, v: rounded(MO.idw(_rest(v), _observed(v))))
 query("forest_estimates")(lambda s, v: MO.tree_predictions(_observed(v), _rest(v), ["lat", "lon", "extensao"]).select("id", r("prediction").alias("prediction")))
 query("boosted_estimates")(lambda s, v: MO.tree_predictions(_observed(v), _rest(v), ["lat", "lon", "extensao"], kind="boosted").select("id", r("prediction").alias("prediction")))
 query("cluster_estimates")(lambda s, v: MO.cluster_means(_observed(v), _rest(v), ["lat", "lon", "extensao"]).select("id", r("prediction").alias("prediction")))

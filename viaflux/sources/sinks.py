@@ -48,7 +48,7 @@ def write_network(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 
 
 def write_frames(frames: DataFrame, path: str) -> None:
-    rows = frames.select("iteration", F.to_json(F.struct("iteration", "coverage", "edges_known", F.size("new_edges").alias("new_count"))).alias("item"))
+    rows = frames.select("iteration", F.to_json(F.struct("iteration", "coverage", "edges_known", "new_count")).alias("item"))
     _write(array_text(rows, "item", "iteration"), path)
 
 
