@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from viaflux.llm import kernels as K
@@ -90,6 +91,22 @@ def test_fixture(spark):
     assert len(firsts(spark, rows)) == plain_firsts(rows)
 
 
+def test_pairs_of_different_labels_once_each(spark):
+    """Pairs that share several signatures come once, and none is lost."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(300)]
+    texts = [(i, edited(base, rng.randrange(2, 6), rng)) for i in range(40)]
+    wide = Scratch(spark).write(simhash.wide_rows(spark.createDataFrame(texts, "id long, text string"), "id", "text"), "wide")
+    sigs = simhash.wide_signatures(wide, range(simhash.SEGMENTS))
+    about = wide.select("id", "n", F.col("n").alias("s"), F.col("id").alias("label"), "fp", simhash.weak_masks(F.col("weak")).alias("mask"))
+    members = {}
+    for r in sigs.collect():
+        members.setdefault(r.sig, []).append(r.id)
+    shared = [p for ids in members.values() for p in itertools.combinations(sorted(ids), 2)]
+    got = [(r.a, r.b) for r in simhash.pairs_apart(sigs.join(about, "id")).collect()]
+    assert len(got) == len(set(got)) and set(got) == set(shared) and len(shared) > 2 * len(got) > 40
+
+
 def test_empty(spark):
     assert not firsts(spark, [])
 

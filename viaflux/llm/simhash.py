@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -266,6 +267,41 @@ def _near(x: str, y: str) -> Column:
     return (apart <= int(FAR * SEGMENTS * BITS)) | (F.least(f"{x}.n", f"{y}.n") < LONG_ENOUGH)
 
 
+def weak_masks(weak: Column) -> Column:
+    """The weak bits of each two segments as set bits, placed as the segments of ``fp`` are."""
+    one = F.lit(1).cast("long")
+
+    def two(w: Column) -> Column:
+        bits = [F.call_function("shiftleft", one, (F.shiftrightunsigned(w, 5 * i).bitwiseAND(F.lit(31).cast("long")) + i // WEAK * BITS).cast("int")) for i in range(2 * WEAK)]
+        return reduce(Column.bitwiseOR, bits)
+
+    return F.transform(weak, two)
+
+
+def _first_shared() -> Column:
+    """Whether ``x.sig`` is the smallest signature that x and y share, from their fingerprints and masks alone."""
+    mask, (segment, bit) = F.lit((1 << BITS) - 1).cast("long"), (F.shiftrightunsigned("x.sig", BITS + 5).cast("int"), F.shiftrightunsigned("x.sig", BITS).bitwiseAND(F.lit(31).cast("long")).cast("int"))
+
+    def earlier(i: Column) -> Column:
+        lane, place = F.call_function("shiftright", i, F.lit(1)), i.bitwiseAND(F.lit(1)) * BITS
+        cut = lambda op, c: F.call_function("shiftrightunsigned", getattr(F.col(f"x.{c}")[lane], op)(F.col(f"y.{c}")[lane]), place).bitwiseAND(mask)
+        apart, both = cut("bitwiseXOR", "fp"), cut("bitwiseAND", "mask")
+        shared = F.when(apart == 0, both).when(F.bit_count(apart) == 1, both.bitwiseAND(apart)).otherwise(F.lit(0).cast("long"))
+        return shared.bitwiseAND(F.when(i == segment, _bit(bit) - 1).otherwise(mask)) != 0
+
+    return ~F.exists(F.sequence(F.lit(0), segment), earlier)
+
+
+def pairs_apart(apart: DataFrame) -> DataFrame:
+    """(a, b), once each: the pairs of apart(sig, id, n, s, label, fp, mask) of one signature and different labels that may be similar.
+
+    A pair that shares many signatures is made in the smallest of them only.
+    """
+    x, y = apart.alias("x"), apart.alias("y")
+    wanted = (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label")) & _possible(F.col("x.n"), F.col("x.s"), F.col("y.n"), F.col("y.s")) & _near("x", "y") & _first_shared()
+    return x.join(y, (F.col("x.sig") == F.col("y.sig")) & wanted).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+
 def _close(pairs: DataFrame, about: DataFrame) -> DataFrame:
     """The near ones of pairs (a, b)."""
     x, y = about.select("id", "n", "fp").alias("x"), about.select("id", "n", "fp").alias("y")
@@ -308,8 +344,8 @@ def similar_firsts(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     sets = scratch.write(shingle_sets(docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(members, "id", "left_semi")), "sets")
     own = sets.select("id", F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where("c = 1")
     own = scratch.write(own.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("q")), "own")
-    about = rows.select("id", "n", "fp").join(members, "id", "left_semi").join(own, "id", "left").withColumn("s", F.col("n") - F.coalesce("q", F.lit(0)))
-    about = scratch.write(about.where(_possible(F.col("n"), F.col("s"), F.col("s"), F.col("s"))).select("id", "n", "s", "fp"), "about")
+    about = rows.select("id", "n", "fp", weak_masks(F.col("weak")).alias("mask")).join(members, "id", "left_semi").join(own, "id", "left").withColumn("s", F.col("n") - F.coalesce("q", F.lit(0)))
+    about = scratch.write(about.where(_possible(F.col("n"), F.col("s"), F.col("s"), F.col("s"))).select("id", "n", "s", "fp", "mask"), "about")
     alive = scratch.write(shared.join(about.select("id", "n", "s"), "id").select("sig", "id", "n", "s"), "alive")
     scratch.drop(*parts, own)
 
@@ -321,12 +357,10 @@ def similar_firsts(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     labels = connected_components(links, scratch)
     named = scratch.write(alive.join(labels, alive["id"] == labels["node"], "left").select("sig", "id", "n", "s", F.coalesce("label", "id").alias("label")), "named")
     mixed = scratch.write(named.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo < hi AND c > 2").select("sig"), "mixed")
-    apart = scratch.write(named.join(mixed, "sig").join(about.select("id", "fp"), "id").select("sig", "id", "n", "s", "label", "fp"), "apart")
+    apart = scratch.write(named.join(mixed, "sig").join(about.select("id", "fp", "mask"), "id").select("sig", "id", "n", "s", "label", "fp", "mask"), "apart")
     scratch.drop(alive, named)
-    x, y = apart.alias("x"), apart.alias("y")
-    wanted = (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label")) & _possible(F.col("x.n"), F.col("x.s"), F.col("y.n"), F.col("y.s")) & _near("x", "y")
-    more = x.join(y, (F.col("x.sig") == F.col("y.sig")) & wanted).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    fresh = scratch.write(more.distinct().join(tried, ["a", "b"], "left_anti"), "fresh")
+    # a signature of two members is not among them: its pair was tried
+    fresh = scratch.write(pairs_apart(apart).join(tried, ["a", "b"], "left_anti"), "fresh")
     if not fresh.isEmpty():
         links = scratch.write(links.unionByName(verified(fresh, sets)), "links")
         labels = connected_components(links, scratch)
