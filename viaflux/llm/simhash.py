@@ -362,6 +362,7 @@ def similar_firsts(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     # a signature of two members is not among them: its pair was tried
     fresh = scratch.write(pairs_apart(apart).join(tried, ["a", "b"], "left_anti"), "fresh")
     if not fresh.isEmpty():
-        links = scratch.write(links.unionByName(verified(fresh, sets)), "links")
-        labels = connected_components(links, scratch)
+        # a component that is known already takes part as a star
+        known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+        labels = connected_components(scratch.write(known.unionByName(verified(fresh, sets)), "links"), scratch)
     return rows.select("id").join(labels.where("node <> label").select(F.col("node").alias("id")), "id", "left_anti")
