@@ -315,6 +315,12 @@ def _possible(n: Column, s: Column, m: Column, t: Column) -> Column:
     return both * under >= (n + m - both) * over
 
 
+def _merged(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """Components of labels(node, label) and more links(a, b); a component that is known takes part as a star."""
+    known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+    return connected_components(scratch.write(known.unionByName(links), "links"), scratch)
+
+
 def similar_firsts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id): of each component of similar texts the smallest key. ``docs`` is a written table with distinct integer keys.
 
@@ -346,23 +352,25 @@ def similar_firsts(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     own = scratch.write(own.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("q")), "own")
     about = rows.select("id", "n", "fp", weak_masks(F.col("weak")).alias("mask")).join(members, "id", "left_semi").join(own, "id", "left").withColumn("s", F.col("n") - F.coalesce("q", F.lit(0)))
     about = scratch.write(about.where(_possible(F.col("n"), F.col("s"), F.col("s"), F.col("s"))).select("id", "n", "s", "fp", "mask"), "about")
-    alive = scratch.write(shared.join(about.select("id", "n", "s"), "id").select("sig", "id", "n", "s"), "alive")
+    alive = scratch.write(shared.join(about, "id").select("sig", "id", "n", "s", "fp", "mask"), "alive")
     scratch.drop(*parts, own)
 
     pivot = F.min(F.struct((F.col("n") - F.col("s")) / F.col("n"), F.col("id").alias("a"), F.col("n").alias("m"), F.col("s").alias("t")))
     pivots = scratch.write(alive.groupBy("sig").agg(pivot.alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1").select("sig", "p.a", "p.m", "p.t"), "pivots")
     pairs = alive.join(pivots, "sig").where((F.col("id") != F.col("a")) & _possible(F.col("n"), F.col("s"), F.col("m"), F.col("t")))
     tried = scratch.write(pairs.select(F.least("id", "a").alias("a"), F.greatest("id", "a").alias("b")).distinct(), "tried")
-    links = scratch.write(verified(_close(tried, about), sets), "links")
+    # one pair of each text first: what it connects makes most of the others needless
+    links = scratch.write(verified(_close(tried.groupBy("b").agg(F.min("a").alias("a")), about), sets), "links")
     labels = connected_components(links, scratch)
-    named = scratch.write(alive.join(labels, alive["id"] == labels["node"], "left").select("sig", "id", "n", "s", F.coalesce("label", "id").alias("label")), "named")
+    side = lambda c, x: labels.select(F.col("node").alias(c), F.col("label").alias(x))
+    rest = tried.join(side("a", "x"), "a", "left").join(side("b", "y"), "b", "left").where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
+    labels = _merged(labels, verified(_close(rest, about), sets), scratch)
+    named = scratch.write(alive.join(labels, alive["id"] == labels["node"], "left").select("sig", "id", "n", "s", F.coalesce("label", "id").alias("label"), "fp", "mask"), "named")
     mixed = scratch.write(named.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo < hi AND c > 2").select("sig"), "mixed")
-    apart = scratch.write(named.join(mixed, "sig").join(about.select("id", "fp", "mask"), "id").select("sig", "id", "n", "s", "label", "fp", "mask"), "apart")
+    apart = scratch.write(named.join(mixed, "sig").select("sig", "id", "n", "s", "label", "fp", "mask"), "apart")
     scratch.drop(alive, named)
     # a signature of two members is not among them: its pair was tried
     fresh = scratch.write(pairs_apart(apart).join(tried, ["a", "b"], "left_anti"), "fresh")
     if not fresh.isEmpty():
-        # a component that is known already takes part as a star
-        known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-        labels = connected_components(scratch.write(known.unionByName(verified(fresh, sets)), "links"), scratch)
+        labels = _merged(labels, verified(fresh, sets), scratch)
     return rows.select("id").join(labels.where("node <> label").select(F.col("node").alias("id")), "id", "left_anti")
