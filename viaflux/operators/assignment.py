@@ -143,7 +143,7 @@ def _walked(simple: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame
 
 
 def msa_step(edges: DataFrame, aux: DataFrame, step: int) -> DataFrame:
-    """Successive average of assigned volumes with auxiliary flows; the step size is 1 / (step + 1)."""
+    """Successive average of assigned volumes with auxiliary flows, one row of ``aux`` for each (src, dst, key); the step size is 1 / (step + 1)."""
     lam = 1.0 / (step + 1)
     e = edges.join(aux.withColumnRenamed("flow", "aux_flow"), ["src", "dst", "key"], "left")
     return e.withColumn("assigned_volume", F.coalesce("assigned_volume", S.num(0)) * (1 - lam) + F.coalesce("aux_flow", S.num(0)) * lam).drop("aux_flow").select(*edges.columns)
