@@ -107,6 +107,27 @@ def test_pairs_of_different_labels_once_each(spark):
     assert len(got) == len(set(got)) and set(got) == set(shared) and len(shared) > 2 * len(got) > 40
 
 
+def test_shingles_of_one_text_in_any_number_of_passes(spark):
+    rng = random.Random(6)
+    sets = {i: sorted({rng.randrange(-300, 300) * 10**15 for _ in range(rng.randrange(40))}) for i in range(30)}
+    table = Scratch(spark).write(spark.createDataFrame(list(sets.items()), "id long, items array<long>"), "sets")
+    every = [x for items in sets.values() for x in items]
+    want = {i: n for i, items in sets.items() if (n := sum(every.count(x) == 1 for x in items))}
+    for passes in (1, 4, 7):
+        assert {r.id: r.q for r in simhash.own_shingles(table, Scratch(spark), passes).collect()} == want
+
+
+def test_only_sets_that_may_be_similar_stay_on_disk(spark, monkeypatch):
+    """Texts whose own shingles rule them out share signatures, but no pair reads their sets."""
+    rng, read = random.Random(7), []
+    base, pair = [f"w{i}" for i in range(300)], [f"v{i}" for i in range(300)]
+    rows = [(i, edited(base, 20, rng)) for i in range(20)] + [(50, " ".join(pair)), (51, edited(pair, 1, rng))]
+    plain = simhash.verified
+    monkeypatch.setattr(simhash, "verified", lambda pairs, sets: read.append({r.id for r in sets.collect()}) or plain(pairs, sets))
+    assert len(firsts(spark, rows)) == plain_firsts(rows) == 21
+    assert read and all(len(ids) == 2 for ids in read)
+
+
 def test_empty(spark):
     assert not firsts(spark, [])
 

@@ -30,7 +30,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from viaflux.llm import kernels as K
@@ -154,6 +154,8 @@ SEGMENTS, BITS, WEAK = 48, 24, 6
 #: Pairs of long texts whose fingerprints differ in more bits than this share are not compared (at a similarity of 0.8 it is 0.15, nine deviations less).
 FAR = 0.25
 LONG_ENOUGH = 40
+#: Shingles are counted in so many passes, each over a share of them, so that little of them is in a shuffle at a time.
+PASSES = 4
 _LANES = -(-SEGMENTS * BITS // 64)
 
 
@@ -227,6 +229,16 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "id long, items array<long>")
 
 
+def own_shingles(sets: DataFrame, scratch: Scratch, passes: int = PASSES) -> DataFrame:
+    """(id, q): how many shingles of a set are in no other one, where there are any; each pass shuffles its share of all shingles."""
+    parts = []
+    for i in range(passes):
+        items = sets.select("id", F.explode("items").alias("item")).where(F.pmod("item", F.lit(passes)) == i)
+        once = items.groupBy("item").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where("c = 1")
+        parts.append(scratch.write(once.groupBy("id").agg(F.count(F.lit(1)).alias("q")), "own"))
+    return scratch.write(reduce(DataFrame.unionAll, parts).groupBy("id").agg(F.sum("q").cast("int").alias("q")), "own")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets of shingles are similar enough."""
     side = lambda c, x: sets.select(F.col("id").alias(c), F.col("items").alias(x))
@@ -341,19 +353,18 @@ def similar_firsts(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     spread = _spread(rows.where("n > 0"), 4_000_000 // (SEGMENTS * WEAK))
     parts = []
     for half in (range(SEGMENTS // 2), range(SEGMENTS // 2, SEGMENTS)):  # two passes hold half of the shuffle at a time
-        sigs = wide_signatures(spread, half)
-        keys = scratch.write(sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("sig"), "keys")
-        parts.append(scratch.write(sigs.join(keys, "sig").select("sig", "id"), "shared"))
-        scratch.drop(keys)
+        counted = wide_signatures(spread, half).withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("sig")))
+        parts.append(scratch.write(counted.where("c > 1").select("sig", "id"), "shared"))
     shared = parts[0].unionByName(parts[1])
     members = scratch.write(shared.select("id").distinct(), "members")
-    sets = scratch.write(shingle_sets(docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(members, "id", "left_semi")), "sets")
-    own = sets.select("id", F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where("c = 1")
-    own = scratch.write(own.groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("q")), "own")
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    sets = scratch.write(shingle_sets(texts.join(members, "id", "left_semi")), "sets")
+    own = own_shingles(sets, scratch)
     about = rows.select("id", "n", "fp", weak_masks(F.col("weak")).alias("mask")).join(members, "id", "left_semi").join(own, "id", "left").withColumn("s", F.col("n") - F.coalesce("q", F.lit(0)))
     about = scratch.write(about.where(_possible(F.col("n"), F.col("s"), F.col("s"), F.col("s"))).select("id", "n", "s", "fp", "mask"), "about")
     alive = scratch.write(shared.join(about, "id").select("sig", "id", "n", "s", "fp", "mask"), "alive")
-    scratch.drop(*parts, own)
+    scratch.drop(*parts, sets)
+    sets = scratch.write(shingle_sets(texts.join(scratch.write(about.select("id"), "ids"), "id", "left_semi")), "sets")  # few of all, made again
 
     pivot = F.min(F.struct((F.col("n") - F.col("s")) / F.col("n"), F.col("id").alias("a"), F.col("n").alias("m"), F.col("s").alias("t")))
     pivots = scratch.write(alive.groupBy("sig").agg(pivot.alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1").select("sig", "p.a", "p.m", "p.t"), "pivots")
