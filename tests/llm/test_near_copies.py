@@ -128,6 +128,26 @@ def test_only_sets_that_may_be_similar_stay_on_disk(spark, monkeypatch):
     assert read and all(len(ids) == 2 for ids in read)
 
 
+def test_signatures_of_the_same_texts_count_once(spark):
+    texts = {1: [1, 2, 3], 2: [1, 2, 3], 3: [1, 2, 3], 4: [1, 2], 5: [1, 2], 6: [3], 7: [2, 3]}
+    signed = spark.createDataFrame([(sig, i) for sig, ids in texts.items() for i in ids], "sig long, id long")
+    got = sorted((r.sig, r.id, r.c) for r in simhash.shared_signatures(signed).collect())
+    assert got == [(1, 1, 3), (1, 2, 3), (1, 3, 3), (4, 1, 2), (4, 2, 2), (7, 2, 2), (7, 3, 2)]
+
+
+def test_texts_that_share_a_signature_by_chance_need_no_sets(spark, monkeypatch):
+    """Texts that are half alike agree in a segment now and then, but are too far apart to be compared."""
+    rng, made = random.Random(3), []
+    base, pair = [f"w{i}" for i in range(400)], [f"v{i}" for i in range(300)]
+    rows = [(i, " ".join(base[:270] + [f"x{rng.randrange(10**6)}" for _ in range(150)])) for i in range(30)] + [(50, " ".join(pair)), (51, edited(pair, 1, rng))]
+    wide = Scratch(spark).write(simhash.wide_rows(spark.createDataFrame(rows, "id long, text string"), "id", "text"), "wide")
+    chance = {r.id for r in simhash.shared_signatures(simhash.wide_signatures(wide, range(simhash.SEGMENTS))).where("c = 2").collect()} - {50, 51}
+    plain = simhash.shingle_sets
+    monkeypatch.setattr(simhash, "shingle_sets", lambda docs: made.append({r.id for r in docs.collect()}) or plain(docs))
+    assert len(firsts(spark, rows)) == plain_firsts(rows) == 31
+    assert len(chance) > 4 and len(made[0]) == 2
+
+
 def test_empty(spark):
     assert not firsts(spark, [])
 

@@ -279,6 +279,23 @@ def _near(x: str, y: str) -> Column:
     return (apart <= int(FAR * SEGMENTS * BITS)) | (F.least(f"{x}.n", f"{y}.n") < LONG_ENOUGH)
 
 
+def shared_signatures(signed: DataFrame) -> DataFrame:
+    """(sig, id, c) of signed(sig, id): the signatures that c texts share, c > 1; of those with the same texts only the smallest one.
+
+    The texts of a signature are told by their number and two 64-bit sums of their hashes.
+    """
+    same = Window.partitionBy("sig")
+    counted = signed.withColumn("c", F.count(F.lit(1)).over(same)).where("c > 1")  # hashes after it, so that they are not shuffled
+    of = {"g": F.bit_xor(F.xxhash64("id")).over(same), "h": F.bit_xor(F.xxhash64("id", F.lit(1))).over(same)}
+    return counted.withColumns(of).groupBy("c", "g", "h", "id").agg(F.min("sig").alias("sig")).select("sig", "id", "c")
+
+
+def _each(rows: DataFrame, share: int = 8000) -> DataFrame:
+    """rows with ``sig``, each of their list ``sigs``, in partitions of about ``share`` signatures however many a text has."""
+    n = rows.agg(F.sum(F.size("sigs"))).first()[0] or 0
+    return rows.repartition(max(1, -(-n // share))).withColumn("sig", F.explode("sigs")).drop("sigs")
+
+
 def weak_masks(weak: Column) -> Column:
     """The weak bits of each two segments as set bits, placed as the segments of ``fp`` are."""
     one = F.lit(1).cast("long")
@@ -341,7 +358,9 @@ def similar_firsts(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     Of a text that shares a signature, the shingles that no other such text has are counted: they
     bound its similarity to any other, and most texts that are like others but not like enough end there.
-    The members of a signature are compared with the one of them that has the fewest such shingles; then
+    Signatures with the same texts count once. Two texts that are alone with a signature are a pair at
+    once; if they are far apart, a signature that agrees by chance costs them neither sets nor shingles.
+    Else the members of a signature are compared with the one of them that has the fewest such shingles; then
     those of different components that the bound allows are compared with each other. So a large
     group of near copies needs no pairs, and no pair that could link two components is left out.
     """
@@ -353,33 +372,38 @@ def similar_firsts(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     spread = _spread(rows.where("n > 0"), 4_000_000 // (SEGMENTS * WEAK))
     parts = []
     for half in (range(SEGMENTS // 2), range(SEGMENTS // 2, SEGMENTS)):  # two passes hold half of the shuffle at a time
-        counted = wide_signatures(spread, half).withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("sig")))
-        parts.append(scratch.write(counted.where("c > 1").select("sig", "id"), "shared"))
+        parts.append(scratch.write(shared_signatures(wide_signatures(spread, half)), "shared"))
     shared = parts[0].unionByName(parts[1])
-    members = scratch.write(shared.select("id").distinct(), "members")
+    alone = scratch.write(shared.where("c = 2").groupBy("sig").agg(F.min("id").alias("a"), F.max("id").alias("b")).select("a", "b").distinct(), "alone")
+    two = scratch.write(_close(alone, rows), "two")
+    several = scratch.write(shared.where("c > 2").groupBy("id").agg(F.collect_list("sig").alias("sigs")), "several")  # 288 of a text at most
+    members = scratch.write(two.select(F.explode(F.array("a", "b")).alias("id")).unionByName(several.select("id")).distinct(), "members")
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     sets = scratch.write(shingle_sets(texts.join(members, "id", "left_semi")), "sets")
     own = own_shingles(sets, scratch)
     about = rows.select("id", "n", "fp", weak_masks(F.col("weak")).alias("mask")).join(members, "id", "left_semi").join(own, "id", "left").withColumn("s", F.col("n") - F.coalesce("q", F.lit(0)))
     about = scratch.write(about.where(_possible(F.col("n"), F.col("s"), F.col("s"), F.col("s"))).select("id", "n", "s", "fp", "mask"), "about")
-    alive = scratch.write(shared.join(about, "id").select("sig", "id", "n", "s", "fp", "mask"), "alive")
-    scratch.drop(*parts, sets)
+    scratch.drop(*parts, alone, sets)
     sets = scratch.write(shingle_sets(texts.join(scratch.write(about.select("id"), "ids"), "id", "left_semi")), "sets")  # few of all, made again
 
-    pivot = F.min(F.struct((F.col("n") - F.col("s")) / F.col("n"), F.col("id").alias("a"), F.col("n").alias("m"), F.col("s").alias("t")))
-    pivots = scratch.write(alive.groupBy("sig").agg(pivot.alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1").select("sig", "p.a", "p.m", "p.t"), "pivots")
-    pairs = alive.join(pivots, "sig").where((F.col("id") != F.col("a")) & _possible(F.col("n"), F.col("s"), F.col("m"), F.col("t")))
-    tried = scratch.write(pairs.select(F.least("id", "a").alias("a"), F.greatest("id", "a").alias("b")).distinct(), "tried")
+    # what is known of a text is joined to its list of signatures, one row a text, and not to each of them
+    alive, same = scratch.write(several.join(about.select("id", "n", "s"), "id"), "alive"), Window.partitionBy("sig")
+    pivot = F.min(F.struct((F.col("n") - F.col("s")) / F.col("n"), F.col("id").alias("a"), F.col("n").alias("m"), F.col("s").alias("t"))).over(same)
+    pairs = _each(alive).withColumn("p", pivot).where((F.col("id") != F.col("p.a")) & _possible(F.col("n"), F.col("s"), F.col("p.m"), F.col("p.t")))
+    x, y = about.select("id", "n", "s").alias("x"), about.select("id", "n", "s").alias("y")
+    two = two.join(x, F.col("a") == F.col("x.id")).join(y, (F.col("b") == F.col("y.id")) & _possible(F.col("x.n"), F.col("x.s"), F.col("y.n"), F.col("y.s"))).select("a", "b")
+    tried = scratch.write(pairs.select(F.least("id", "p.a").alias("a"), F.greatest("id", "p.a").alias("b")).unionByName(two).distinct(), "tried")
     # one pair of each text first: what it connects makes most of the others needless
     links = scratch.write(verified(_close(tried.groupBy("b").agg(F.min("a").alias("a")), about), sets), "links")
     labels = connected_components(links, scratch)
     side = lambda c, x: labels.select(F.col("node").alias(c), F.col("label").alias(x))
     rest = tried.join(side("a", "x"), "a", "left").join(side("b", "y"), "b", "left").where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
     labels = _merged(labels, verified(_close(rest, about), sets), scratch)
-    named = scratch.write(alive.join(labels, alive["id"] == labels["node"], "left").select("sig", "id", "n", "s", F.coalesce("label", "id").alias("label"), "fp", "mask"), "named")
-    mixed = scratch.write(named.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo < hi AND c > 2").select("sig"), "mixed")
-    apart = scratch.write(named.join(mixed, "sig").select("sig", "id", "n", "s", "label", "fp", "mask"), "apart")
-    scratch.drop(alive, named)
+    named = scratch.write(alive.join(labels, alive["id"] == labels["node"], "left").select("id", F.coalesce("label", "id").alias("label"), "sigs"), "named")
+    mixed = _each(named).withColumns({"lo": F.min("label").over(same), "hi": F.max("label").over(same), "c": F.count(F.lit(1)).over(same)}).where("lo < hi AND c > 2")
+    mixed = scratch.write(mixed.groupBy("id", "label").agg(F.collect_list("sig").alias("sigs")), "mixed")
+    apart = scratch.write(_each(mixed.join(about, "id")).select("sig", "id", "n", "s", "label", "fp", "mask"), "apart")
+    scratch.drop(alive, named, mixed)
     # a signature of two members is not among them: its pair was tried
     fresh = scratch.write(pairs_apart(apart).join(tried, ["a", "b"], "left_anti"), "fresh")
     if not fresh.isEmpty():
